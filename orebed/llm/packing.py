@@ -53,32 +53,49 @@ class BestFit:
 
 
 def tokenize_pieces(
-    docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 1, with_ids: bool = False, cache_words: int = 200_000
+    docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 1, with_ids: bool = False, cache_words: int = 400_000
 ) -> DataFrame:
     """Each document's token ids and end_id, cut into pieces of max_len (the last may be shorter).
 
-    tokenizer: name of a public_tokenizers file whose tokens never cross white space; a word met before takes its ids
-    from a cache that is emptied beyond cache_words. A null or empty text is the end_id alone. ids: little-endian
+    tokenizer: name of a public_tokenizers file whose tokens never cross white space, with one token for the character
+    0 between spaces, which parts the words that are encoded together. Words met before take their ids from a cache of
+    two generations of cache_words at most. A null or empty text is the end_id alone. ids: little-endian
     unsigned 32-bit ids, if with_ids."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
         import numpy as np
         import public_tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(public_tokenizers.path(tokenizer)).encode_batch_fast
-        end, step, known = np.array([end_id], "<u4").tobytes(), 4 * max_len, {}
+        tok = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+        encode = lambda text: np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        parting = encode(" \0 ")
+        assert len(parting) == 1, "the tokenizer has no token of its own for the character 0"
+        end, step, known, old = np.array([end_id], "<u4").tobytes(), 4 * max_len, {}, {}
         for part in parts:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             split = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
-            new = [w for w in {w for ws in split for w in ws} if w not in known]
-            if len(known) + len(new) > cache_words:
-                known = {}
-                new = list({w for ws in split for w in ws})
-            for k in range(0, len(new), 8192):
-                some = new[k : k + 8192]
-                for w, e in zip(some, encode([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            here = {w for ws in split for w in ws}
+            if len(known) + len(here) > cache_words:
+                known, old = {}, known
+            new = []
+            for w in here.difference(known):
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.append(w)
+            alone = [w for w in new if b"\0" in w]
+            new = [w for w in new if b"\0" not in w] if alone else new
+            known.update((w, encode(w.decode()).tobytes()) for w in alone)
+            for k in range(0, len(new), 1024):
+                some = new[k : k + 1024]
+                ids = encode(b" \0 ".join(some).decode())
+                cut, raw = np.flatnonzero(ids == parting[0]) * 4, ids.tobytes()
+                known.update(zip(some, (raw[i:j] for i, j in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True)), strict=True))
             for doc, ws in zip(part.column(0).to_pylist(), split, strict=True):
                 ids = b"".join(map(known.__getitem__, ws)) + end
                 for k in range(0, len(ids), step):
