@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality, secret_scan, sharding
+from . import ann, decontamination, licenses, packing, quality, repeats, secret_scan, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_documents(spark, sf_dir)).drop("spans", "kept")
+
+
 def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards by their texts' places on the ring; copies lie together while their shard has room."""
     text = F.coalesce("text", F.lit(""))
@@ -30,10 +34,20 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds: a row for each pair."""
+    return decontamination.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir))
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir), secret_scan.train(spark))
 
@@ -42,5 +56,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bounded_ring, op4_rule_ensemble, op6_license_scan, op8_secret_scan, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_repeated_phrases,
+        op2_bounded_ring,
+        op4_rule_ensemble,
+        op5_simhash_windows,
+        op6_license_scan,
+        op7_multi_index,
+        op8_secret_scan,
+        op9_best_fit_packing,
+    )
+}
 SQL: dict[str, str] = {}

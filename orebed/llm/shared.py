@@ -201,3 +201,20 @@ def word_hashes(words: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
     codes = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
     of = np.fromiter((xxhash.xxh3_64_intdigest(w, 17) for w in code), np.uint64, len(code))
     return (of[codes] if len(words) else np.zeros(0, np.uint64)), code
+
+
+def pack_planes(a: np.ndarray) -> bytes:
+    """64-bit integers byte plane by byte plane, compressed: for numbers of few bytes in any order."""
+    return pack(np.ascontiguousarray(a.astype(np.int64)).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def expand(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
