@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, licenses, packing, quality, repeats, secret_scan, sharding
+from . import ann, decontamination, kneser_ney, licenses, near, packing, quality, repeats, secret_scan, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_documents(spark, sf_dir), shingle_words=3, least=(85, 100), bands=30, rows=5)
+
+
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -56,17 +60,23 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_repeated_phrases,
         op2_bounded_ring,
+        op3_minhash_near,
         op4_rule_ensemble,
         op5_simhash_windows,
         op6_license_scan,
         op7_multi_index,
         op8_secret_scan,
         op9_best_fit_packing,
+        op10_kneser_ney,
     )
 }
 SQL: dict[str, str] = {}
