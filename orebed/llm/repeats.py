@@ -14,7 +14,9 @@ from . import shared
 from .shared import NULL_ID, Scratch
 
 #: Patterns in one automaton.
-SHARD_PATTERNS = 60_000
+SHARD_PATTERNS = 200_000
+#: Words to each side of a block up to which a run is followed at once; longer runs have more blocks.
+REACH = 48
 OUT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,last:long>>, kept string"
 
 
@@ -39,41 +41,83 @@ def _flat(column) -> list:
     return column.to_pylist()
 
 
-def locate(texts: list[list[bytes]], ids: list[int], passages: list[tuple[int, list[bytes]]], size: int) -> list[list[int]]:
-    """For each text (words) the ends (last word) of all windows of `size` words that a passage of an earlier document
-    holds: passages are (doc_id, words). Automata have words for letters and SHARD_PATTERNS patterns each."""
+def locate(texts: list[list[bytes]], ids: list[int], passages: list[tuple[int, list[bytes]]], size: int) -> list[bytearray]:
+    """For each text (words) a mask of the words in runs of `size` or more that a passage of an earlier document holds:
+    passages are (doc_id, words).
+
+    The automata's patterns are a passage's blocks of (size + 1) // 2 words side by side: any run of `size` words holds
+    one whole. A word is three letters, of an alphabet for each place, so that the nodes of an automaton have few children
+    and blocks begin where words do. Where a block occurs, the run is followed to both sides, up to REACH words from the
+    block, unless the mask already has all that a run through the block of `size` words could add."""
     import ahocorasick
 
-    ends: list[list[int]] = [[] for _ in texts]
-    k = 0
+    masks = [bytearray(len(ws)) for ws in texts]
+    block, k = (size + 1) // 2, 0
+    beside = (size - block + 1) // 2
+    base, other = 64, "\1\1\1"
     while k < len(passages):
         letters: dict[bytes, str] = {}
-        patterns: dict[str, int] = {}
-        while k < len(passages) and len(patterns) < SHARD_PATTERNS and len(letters) < 900_000:
+        patterns: dict[str, list[tuple[int, int]]] = {}
+        lines: list[tuple[int, list[bytes]]] = []
+        while k < len(passages) and len(patterns) < SHARD_PATTERNS and len(letters) < base**3 - 2 * len(passages[k][1]):
             doc, ws = passages[k]
             for w in ws:
                 if w not in letters:
-                    c = len(letters) + 256
-                    letters[w] = chr(c if c < 0xD800 else c + 0x800)
-            s = "".join(map(letters.__getitem__, ws))
-            for i in range(len(s) - size + 1):
-                p = s[i : i + size]
-                if patterns.get(p, doc) >= doc:
-                    patterns[p] = doc
+                    c = len(letters)
+                    letters[w] = chr(32 + c % base) + chr(32 + base + c // base % base) + chr(32 + 2 * base + c // base**2)
+            s = "".join([letters[w] for w in ws])
+            for i in range(0, len(ws) - block + 1, block):
+                patterns.setdefault(s[3 * i : 3 * (i + block)], []).append((len(lines), i))
+            lines.append((doc, ws))
             k += 1
+        if not lines:  # one passage with more words than letters: in halves that overlap by a run
+            doc, ws = passages[k]
+            half = len(ws) // 2
+            passages = [*passages[:k], (doc, ws[: half + size - 1]), (doc, ws[half:]), *passages[k + 1 :]]
+            continue
         machine = ahocorasick.Automaton()
-        for p, doc in patterns.items():
-            machine.add_word(p, doc)
-        patterns.clear()
+        for p, where in patterns.items():
+            # a run of `size` words goes on from the block by `beside` words to one side at least: of a block that many
+            # passages hold, only those with the same words there can match
+            sides: dict[tuple, list[tuple[int, int]]] | None = None
+            if len(where) > 4:
+                sides = {}
+                for line, i in where:
+                    ws = lines[line][1]
+                    if i >= beside:
+                        sides.setdefault((0, *ws[i - beside : i]), []).append((line, i))
+                    if i + block + beside <= len(ws):
+                        sides.setdefault((1, *ws[i + block : i + block + beside]), []).append((line, i))
+            machine.add_word(p, (where, sides))
         machine.make_automaton()
         get = letters.get
-        for t, ws in enumerate(texts):
-            if len(ws) >= size and ids[t] != NULL_ID:
-                own, mine = ids[t], ends[t]
-                for end, doc in machine.iter("".join([get(w, "\1") for w in ws])):
-                    if doc < own:
-                        mine.append(end)
-    return ends
+        for t, text in enumerate(texts):
+            if len(text) < size or ids[t] == NULL_ID:
+                continue
+            own, n, mask = ids[t], len(text), masks[t]
+            for stop, (where, sides) in machine.iter("".join([get(w, other) for w in text])):
+                end = stop // 3
+                at = end - block + 1
+                lo, hi = max(0, end - size + 1), min(n, at + size)
+                if mask.find(0, lo, hi) < 0:  # all that a run of this block could remove is gone
+                    continue
+                if sides is not None:
+                    where = sides.get((0, *text[max(0, at - beside) : at]), []) + sides.get((1, *text[end + 1 : end + 1 + beside]), [])
+                for line, i in where:
+                    doc, ws = lines[line]
+                    if doc >= own:
+                        continue
+                    a, x, least = at, i, max(0, at - REACH)
+                    while a > least and x and text[a - 1] == ws[x - 1]:
+                        a, x = a - 1, x - 1
+                    b, y, most, m = end + 1, i + block, min(n, end + REACH), len(ws)
+                    while b < most and y < m and text[b] == ws[y]:
+                        b, y = b + 1, y + 1
+                    if b - a >= size:
+                        mask[a:b] = b"\1" * (b - a)
+                        if mask.find(0, lo, hi) < 0:
+                            break
+    return masks
 
 
 def remove_repeats(documents: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
@@ -190,13 +234,13 @@ def remove_repeats(documents: DataFrame, window: int = 13, with_text: bool = Fal
             found: list[tuple[int, list[bytes]]] = []
             for docs, raw in zip(_flat(sent.column("docs")), _flat(sent.column("texts")), strict=True):
                 found += zip(shared.unpack_planes(docs).tolist(), (x.split(b" ") for x in shared.expand(raw).split(b"\n")), strict=True)
-            for doc, ws, ends in zip(ids, split, locate(split, ids, found, window), strict=True):
-                spans: list[list[int]] = []
-                for end in sorted(ends):
-                    if spans and end - window + 1 <= spans[-1][1] + 1:
-                        spans[-1][1] = max(end, spans[-1][1])
-                    else:
-                        spans.append([end - window + 1, end])
+            for doc, ws, mask in zip(ids, split, locate(split, ids, found, window), strict=True):
+                spans, at = [], mask.find(1)
+                while at >= 0:
+                    stop = mask.find(0, at)
+                    stop = len(mask) if stop < 0 else stop
+                    spans.append((at, stop - 1))
+                    at = mask.find(1, stop)
                 kept, begin = [], 0
                 for a, b in spans:
                     kept += ws[begin:a]
