@@ -237,7 +237,7 @@ def test_licenses(spark, docs, none):
                 ws = set(licenses._words(template))
                 if len(own & ws) >= 0.85 * len(ws):
                     want.add((i, b, label))
-    assert found == want and len(want) >= 3
+    assert found == want == {(63, 1, "mit"), (64, 0, "gpl-3")}
     assert licenses.scan(none).count() == 0
 
 
@@ -358,7 +358,7 @@ def test_pipeline(spark, tmp_path):
     secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     item = text(77, 20)
     clean = [(i, text(i, 60)) for i in range(40)]
-    planted = [(100, clean[3][1]), (101, "A " + item + " b"), (102, f'{text(900, 50)} token = "{secret}"'), (103, " ".join(w.upper() + "!!" for w in text(7, 50).split()))]
+    planted = [(100, clean[3][1]), (101, text(901, 40) + " " + item), (102, f'{text(900, 50)} token = "{secret}"'), (103, " ".join(w.upper() + "!!" for w in text(7, 50).split()))]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in text(i, 40).split())) for i in range(60)]
     every = clean + planted + bad
     frame = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in every], "doc_id long, text string, lang string, source string, n_chars long")
