@@ -9,39 +9,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
+from .shared import let
 
 #: Names of the statistics, in the order of statistics().
 STATISTICS = ("chars", "words", "upper", "symbols", "bars", "bangs", "digits", "stops", "distinct", "word_chars", "line_chars", "spaces")
 
 
-def statistics(text: Column) -> list[Column]:
-    """Numbers (double, never null or infinite) of a text; a null text counts as empty."""
-    t = F.coalesce(text, F.lit(""))
-    chars = F.char_length(t).cast("double")
-    some = F.greatest(chars, F.lit(1.0))
-    words = F.split(t, "\\s+")
-    n = F.array_size(words).cast("double")
-
-    def share(pattern: str) -> Column:
-        return F.char_length(F.regexp_replace(t, pattern, "")) / some
-
-    def times(sign: str) -> Column:
-        return (chars - F.char_length(F.replace(t, F.lit(sign), F.lit("")))) / some
-
-    return [
-        chars,
-        n,
-        share("[^\\p{Lu}]+"),
-        share("[\\p{L}\\p{N}\\s.,;:'\"()?-]+"),
-        times("|"),
-        times("!"),
-        share("[^0-9]+"),
-        times("."),
-        F.array_size(F.array_distinct(words)) / n,
-        chars / n,
-        chars / (chars - F.char_length(F.replace(t, F.lit("\n"), F.lit(""))) + 1),
-        times(" "),
-    ]
+def statistics(text: Column) -> Column:
+    """A struct of numbers (double, never null or infinite) of a text; a null text counts as empty. What several numbers
+    need is computed once, in the row, wherever the struct ends up in a plan."""
+
+    def of(p: Column) -> Column:
+        t, chars, n = p["t"], p["chars"], p["n"]
+        some = F.greatest(chars, F.lit(1.0))
+        share = lambda pattern: F.char_length(F.regexp_replace(t, pattern, "")) / some
+        times = lambda sign: chars - F.char_length(F.replace(t, F.lit(sign), F.lit("")))
+        every = [
+            chars,
+            n,
+            share("[^\\p{Lu}]+"),
+            share("[\\p{L}\\p{N}\\s.,;:'\"()?-]+"),
+            times("|") / some,
+            times("!") / some,
+            share("[^0-9]+"),
+            times(".") / some,
+            F.array_size(F.array_distinct(p["words"])) / n,
+            chars / n,
+            chars / (times("\n") + 1),
+            times(" ") / some,
+        ]
+        return F.struct(*[c.alias(name) for c, name in zip(every, STATISTICS, strict=True)])
+
+    def parts(t: Column) -> Column:
+        words = let(F.split(t, "\\s+"), lambda w: F.struct(t.alias("t"), F.char_length(t).cast("double").alias("chars"), w.alias("words"), F.array_size(w).cast("double").alias("n")))
+        return let(words, of)
+
+    return let(F.coalesce(text, F.lit("")), parts)
 
 
 @dataclass
@@ -119,7 +122,7 @@ def train(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000, seed
     known = labels.where(F.col("quality").isin(0, 1) & training_row(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("q"))
     some = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # most_rows small rows at most
-    got = rows.select("doc_id", (F.col("q") >= 0.5).cast("double").alias("y"), *[c.alias(n) for c, n in zip(statistics(F.col("text")), STATISTICS, strict=True)]).toPandas()
+    got = rows.select("doc_id", (F.col("q") >= 0.5).cast("double").alias("y"), statistics(F.col("text")).alias("s")).select("doc_id", "y", "s.*").toPandas()
     got = got.sort_values(["doc_id", *STATISTICS])
     return fit_rules(got[list(STATISTICS)].to_numpy(float), got["y"].to_numpy(float), seed=seed)
 
@@ -128,6 +131,4 @@ def score(documents: DataFrame, model: RuleEnsemble, text: str = "text", name: s
     """documents with the model's score (0 to 1; higher: better) of each whole text, in Spark columns only.
 
     Null and empty texts have the score of an empty text; repeated rows and other columns stay."""
-    names = [f"__s{i}" for i in range(len(STATISTICS))]
-    stats = documents.select("*", *[c.alias(n) for c, n in zip(statistics(F.col(text)), names, strict=True)])
-    return stats.withColumn(name, model.column([F.col(n) for n in names])).drop(*names)
+    return documents.withColumn(name, let(statistics(F.col(text)), lambda x: model.column([x[n] for n in STATISTICS])))

@@ -6,12 +6,12 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: a batch of the longest texts still fits a Python worker.
@@ -82,6 +82,11 @@ def literal_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is written and computed once, however often body names it and wherever the optimizer puts it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # -- packed arrays -----------------------------------------------------------------------------------------------
 
 def pack_sorted(a: np.ndarray) -> bytes:
@@ -218,3 +223,4 @@ def squeeze(raw: bytes) -> bytes:
 
 def expand(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
+
