@@ -7,6 +7,7 @@ import tempfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,8 +145,8 @@ def look_up(keys: np.ndarray, values: list[np.ndarray], asked: np.ndarray) -> li
 
 @dataclass
 class Model:
-    """Shards (bucket, and packed arrays: words with counts and continuation counts, pairs with counts, contexts with
-    four sums) and what all of them share."""
+    """Shards (bucket, and packed arrays, in two rows: pairs with counts and contexts with four sums; words with counts and
+    continuation counts) and what all of them share."""
 
     shards: DataFrame
     buckets: int
@@ -158,9 +159,10 @@ class Model:
     hot: dict[int, tuple[int, int, int, int]]
 
 
-def train(coded: DataFrame, scratch: Scratch) -> Model:
+def train(coded: DataFrame, scratch: Scratch, turns: int = 2) -> Model:
     """Counts all pairs of tokens of the training documents. Batches count before they send; a context with more than
-    1 / (2 * shards) of the tokens has its pairs in all shards, so the list of such contexts is short."""
+    1 / (2 * shards) of the tokens has its pairs in all shards, so the list of such contexts is short. Shards take
+    turns, so that not all pairs lie on disk at once."""
     spark = coded.sparkSession
     buckets = max(shared.partitions(spark), coded.count() // 4)
     words_ddl = "bucket long, hashes binary, counts binary"
@@ -207,7 +209,7 @@ def train(coded: DataFrame, scratch: Scratch) -> Model:
     # 2 * buckets words at most have so many tokens; BEGIN is a context of every text
     hot = np.array(sorted({r[0] for r in words.select("hashes", "counts").mapInArrow(frequent, "h long").collect()} | {int(BEGIN.view(np.int64))}), np.int64).view(np.uint64)
 
-    def send_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_pairs(parts: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in part.to_pylist():
                 hashes, now, before = training(row)
@@ -217,7 +219,8 @@ def train(coded: DataFrame, scratch: Scratch) -> Model:
                 order = np.argsort(where, kind="stable")  # contexts ascend within a bucket
                 a, b, n = a[order], b[order], n[order]
                 cut = np.searchsorted(where[order], np.arange(buckets + 1))
-                some = np.flatnonzero(cut[1:] > cut[:-1])
+                some = np.arange(turn, buckets, turns)
+                some = some[cut[some + 1] > cut[some]]
                 yield rows_of([(int(k), pack_sorted(a[cut[k] : cut[k + 1]]), pack_planes(b[cut[k] : cut[k + 1]].view(np.int64)), pack_planes(n[cut[k] : cut[k + 1]])) for k in some], ["bucket", "a", "b", "counts"])
 
     pair_ddl = (
@@ -254,8 +257,11 @@ def train(coded: DataFrame, scratch: Scratch) -> Model:
             }
         )
 
-    counted = coded.mapInArrow(send_pairs, "bucket long, a binary, b binary, counts binary").groupBy("bucket").applyInArrow(sum_pairs, pair_ddl)
-    counted = scratch.save(counted, "pairs")
+    halves = []
+    for turn in range(turns):
+        sent = coded.mapInArrow(lambda parts, turn=turn: send_pairs(parts, turn), "bucket long, a binary, b binary, counts binary")
+        halves.append(scratch.save(sent.groupBy("bucket").applyInArrow(sum_pairs, pair_ddl), f"pairs-{turn}"))
+    counted = reduce(DataFrame.unionByName, halves)
     got = counted.agg(*[F.sum(c) for c in ("kinds", "n1", "n2", "n3", "n4")]).first()
     pairs, pair_d = int(got[0] or 0), discounts([int(x or 0) for x in got[1:]])
     spread = counted.select(F.explode("hot").alias("h")).groupBy("h.a").agg(*[F.sum(f"h.{k}") for k in ("c", "n1", "n2", "n3")]).collect()
@@ -277,13 +283,19 @@ def train(coded: DataFrame, scratch: Scratch) -> Model:
     m = [int(x or 0) for x in level.agg(*[F.sum(f"m{i}") for i in (1, 2, 3, 4, 5)]).first()]
     word_d = discounts(m[:4])
     rest = (word_d[0] * m[0] + word_d[1] * m[1] + word_d[2] * m[4]) / pairs if pairs else 1.0
-    shards = counted.select("bucket", "pairs", "pair_counts", "contexts", "context_sums").join(level.select("bucket", "words", "word_counts", "conts"), "bucket", "full")
+    counted = scratch.save(counted.select("bucket", "pairs", "pair_counts", "contexts", "context_sums"), "shards")
+    scratch.drop("words")
+    for turn in range(turns):
+        scratch.drop(f"pairs-{turn}")
+    # a shard's pairs and words are two rows, which the answers put together: no join moves them before
+    pair_rows = counted.select("bucket", "pairs", "pair_counts", "contexts", "context_sums", *[F.lit(None).cast("binary").alias(c) for c in ("words", "word_counts", "conts")])
+    shards = pair_rows.unionByName(level.select("bucket", "words", "word_counts", "conts"), allowMissingColumns=True)
     return Model(shards, buckets, tokens, vocabulary, pairs, word_d, pair_d, rest, hot_sums)
 
 
-def score(coded: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+def score(coded: DataFrame, model: Model, scratch: Scratch, turns: int = 2) -> DataFrame:
     """Each document's sums; see score_documents. Batches ask each shard once for all that they need of it; workers
-    memory-map a shard's arrays while they answer."""
+    memory-map a shard's arrays while they answer. The shards take turns, so that not all questions lie on disk at once."""
     buckets, hot = model.buckets, np.array(sorted(model.hot), np.int64).view(np.uint64)
 
     def asks(row: dict):
@@ -295,13 +307,13 @@ def score(coded: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
         order = np.lexsort((g, where))
         return ids, lens, hashes, now, inverse, a, b, g, where, order
 
-    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(parts: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in part.to_pylist():
                 _, _, hashes, _, _, _, _, g, where, order = asks(row)
                 cut, pairs = shared.bucket_bounds(hashes, buckets), g[order]
                 to = np.searchsorted(where[order], np.arange(buckets + 1))
-                some = [k for k in range(buckets) if cut[k + 1] > cut[k] or to[k + 1] > to[k]]
+                some = [k for k in range(turn, buckets, turns) if cut[k + 1] > cut[k] or to[k + 1] > to[k]]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "bucket": pa.array(some, pa.int64()),
@@ -312,7 +324,7 @@ def score(coded: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
                 )
 
     def answer(key, shard: pa.Table, asked: pa.Table) -> pa.Table:
-        own = shard.to_pylist()[0] if shard.num_rows else {}
+        own = {k: v for r in shard.to_pylist() for k, v in r.items() if v is not None}
         opened = lambda name, f: f(own[name]) if own.get(name) else f(EMPTY[f])
         EMPTY = {unpack_sorted: pack_sorted(np.zeros(0, np.uint64)), unpack_planes: pack_planes(np.zeros(0, np.int64))}
         arrays = [opened(*x) for x in (("words", unpack_sorted), ("word_counts", unpack_planes), ("conts", unpack_planes), ("pairs", unpack_sorted), ("pair_counts", unpack_planes), ("contexts", unpack_sorted), ("context_sums", unpack_planes))]
@@ -361,10 +373,12 @@ def score(coded: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
 
     model_hot = {np.int64(k).view(np.uint64): v for k, v in model.hot.items()}
     model_d1, model_rest, model_pairs = model.word_discounts, model.word_rest, model.pairs
-    shards = model.shards.withColumnRenamed("bucket", "shard")
-    asked = coded.mapInArrow(send, "bucket long, batch long, words binary, pairs binary")
-    replies = shards.groupBy("shard").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "batch long, bucket long, counts binary, pairs binary")
-    replies = scratch.save(replies, "replies").withColumnRenamed("batch", "of")
+    shards, told = model.shards.withColumnRenamed("bucket", "shard"), []
+    for turn in range(turns):
+        asked = coded.mapInArrow(lambda parts, turn=turn: send(parts, turn), "bucket long, batch long, words binary, pairs binary")
+        answers = shards.where(F.col("shard") % turns == turn).groupBy("shard").cogroup(asked.groupBy("bucket"))
+        told.append(scratch.save(answers.applyInArrow(answer, "batch long, bucket long, counts binary, pairs binary"), f"replies-{turn}"))
+    replies = reduce(DataFrame.unionByName, told).withColumnRenamed("batch", "of")
     return coded.groupBy("batch").cogroup(replies.groupBy("of")).applyInArrow(combine, SCORED_DDL)
 
 
@@ -377,4 +391,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     64-bit hashes. An empty table gives no rows; without training documents every token has one probability."""
     scratch = Scratch(documents.sparkSession, "kneser-ney")
     coded = scratch.save(coded_batches(documents), "coded")
-    return score(coded, train(coded, scratch), scratch)
+    scored = score(coded, train(coded, scratch), scratch)
+    for name in ("shards", "level"):  # the answers are stored
+        scratch.drop(name)
+    return scored
