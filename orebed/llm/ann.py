@@ -26,19 +26,24 @@ def usable(vector: Column) -> Column:
 
 @dataclass
 class MultiIndex:
-    """Centroids of the two halves of a vector; a vector's cell is the pair of its halves' nearest centroids."""
+    """Centroids of the two halves of a lifted vector; a vector's cell is the pair of its halves' nearest centroids."""
 
     half: int
     first: np.ndarray
     second: np.ndarray
+    longest: float
 
     def cells(self, x: np.ndarray) -> np.ndarray:
+        x = _lifted(x, self.longest)
         a, b = _nearest(x[:, : self.half], self.first), _nearest(x[:, self.half :], self.second)
         return a * len(self.second) + b
 
     def traverse(self, q: np.ndarray, counts: np.ndarray, least: int) -> list[int]:
-        """Occupied cells by rising summed distance of q to their two centroids, until they hold least vectors."""
-        da, db = ((q[: self.half] - self.first) ** 2).sum(1), ((q[self.half :] - self.second) ** 2).sum(1)
+        """Occupied cells by rising summed distance of q to their two centroids, until they hold least vectors. The length
+        of q changes no inner product's place, so q is lifted at the longest length."""
+        peak = np.abs(q).max()
+        q = np.append(q / peak * (self.longest / np.sqrt(((q / peak) ** 2).sum())), self.longest)
+        da, db = (self.first**2).sum(1) - 2 * self.first @ q[: self.half], (self.second**2).sum(1) - 2 * self.second @ q[self.half :]
         ia, ib, k = np.argsort(da, kind="stable"), np.argsort(db, kind="stable"), len(self.second)
         heap, seen, out, held = [(da[ia[0]] + db[ib[0]], 0, 0)], {(0, 0)}, [], 0
         while heap and held < least:
@@ -54,6 +59,13 @@ class MultiIndex:
         return out
 
 
+def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """x with one more component, by which all have one distance `longest` from a common point: then the largest inner
+    product with a query is the smallest distance, whatever the lengths. It is longest - sqrt(longest^2 - |x|^2)."""
+    n = (x**2).sum(1)
+    return np.column_stack([x, n / (longest + np.sqrt(np.maximum(longest**2 - n, 0)))])
+
+
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmin((centroids**2).sum(1) - 2 * x @ centroids.T, axis=1)
 
@@ -73,23 +85,25 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 def fit(vectors: DataFrame, centroids: int = 32, most_rows: int = 20_000, seed: int = 0) -> MultiIndex | None:
-    """Centroids of each half, fitted on at most most_rows usable vectors, first by a hash of vec_id; None without any."""
-    rows = vectors.where(usable(F.col("embedding"))).orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(most_rows)
+    """Centroids of each half, fitted on at most most_rows usable vectors, first by a hash of vec_id, and the
+    length of the longest of all usable vectors; None without any."""
+    every = vectors.where(usable(F.col("embedding")))
+    longest = every.agg(F.sqrt(F.max(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
+    rows = every.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(most_rows)
     got = [r[0] for r in rows.select(F.col("embedding").cast("array<double>")).collect()]
     if not got:
         return None
     x, rng = np.array(got), np.random.default_rng(seed)
-    x = x[np.lexsort(x.T)]
     half = (x.shape[1] + 1) // 2
-    second = x[:, half:] if x.shape[1] > 1 else np.zeros((len(x), 0))
-    return MultiIndex(half, _kmeans(x[:, :half], centroids, 15, rng), _kmeans(second, centroids, 15, rng) if second.shape[1] else np.zeros((1, 0)))
+    x = _lifted(x[np.lexsort(x.T)], longest)
+    return MultiIndex(half, _kmeans(x[:, :half], centroids, 15, rng), _kmeans(x[:, half:], centroids, 15, rng), longest)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int = 64, probe: float = 0.4, least: int = 2000, seed: int = 0) -> DataFrame:
     """The k nearest rows of vectors (vec_id, embedding) found for each query (the same columns), its own vec_id left out:
     query_id, rank (from 1), vec_id, score (inner product in double precision), ties to the smaller vec_id.
 
-    Every usable vector is indexed by its cell. A query visits the cells by rising summed distance until they hold a
+    Every usable vector is indexed by its cell, lifted so that inner products are distances (`_lifted`). A query visits the cells by rising summed distance until they hold a
     share `probe` of the vectors, `least` at least; all their entries are reranked by their original vectors. The cells
     of one first centroid lie together, in blocks of about BLOCK vectors dealt by a hash of vec_id, so that equal
     vectors don't fill a task; a query goes once to each block with a cell that it visits, and gets its k best there.

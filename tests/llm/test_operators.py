@@ -267,6 +267,21 @@ def test_nearest_vectors(spark):
     assert ann.search(d.where("false"), q).count() == 0 and ann.search(d, q.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sigma", [0.5, 1.0])
+def test_nearest_vectors_of_unequal_length(spark, sigma):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 32))
+    x *= (np.exp(sigma * rng.normal(size=4000)) / np.sqrt((x**2).sum(1)))[:, None]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    short = F.transform("embedding", lambda v: v * 1e-3)
+    q = d.where("vec_id % 80 = 0").withColumn("embedding", F.when(F.col("vec_id") % 160 == 0, short).otherwise(F.col("embedding")))
+    got = defaultdict(set)
+    for r in ann.search(d, q, k=20, probe=0.4, least=100).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    best = {i: set(np.argsort(-np.where(np.arange(4000) == i, -np.inf, x @ x[i]))[:20].tolist()) for i in range(0, 4000, 80)}
+    assert set(got) == set(best) and sum(len(got[i] & best[i]) for i in best) / (50 * 20) >= 0.9
+
+
 def test_secrets(spark, docs, none):
     forest = secret_scan.train(spark)
     held = secret_scan.labelled_findings(600, seed=99)
