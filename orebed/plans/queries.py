@@ -538,10 +538,14 @@ COS = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embed
 @query(f"select query_id, id, score from (select b.vec_id as query_id, a.vec_id as id, round({COS}, 6) as score, row_number() over (partition by b.vec_id order by round({COS}, 6) desc, a.vec_id) as n from embeddings a, embeddings b where b.vec_id < 10) where n <= 10")
 def cosine_topk_vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = v.where("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("qe"))
-    listed = F.broadcast(q.agg(F.collect_list(F.struct("query_id", "qe")).alias("qs")))  # ten queries
-    scored = v.join(listed).select("id", "embedding", F.explode("qs").alias("q")).select("q.query_id", "id", F.round(retrieval.cosine(F.col("embedding"), F.col("q.qe")), 6).alias("score"))
-    return retrieval._top(scored, "id", 10).select("query_id", "id", "score")
+    return retrieval.vector_top(v, v.where("id < 10"), 10, digits=6).select("query_id", "id", "score")
+
+
+@query(f"select query_id, id, score from (select b.vec_id as query_id, a.vec_id as id, round({COS}, 6) as score, row_number() over (partition by b.vec_id order by round({COS}, 6) desc, a.vec_id) as n from embeddings a, embeddings b where b.vec_id % 100 = 0) where n <= 10")
+def cosine_topk_hundredth(spark, sf_dir):
+    """The search of cosine_topk_vectors for every vector whose id is divisible by 100."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.vector_top(v, v.where("id % 100 = 0"), 10, digits=6).select("query_id", "id", "score")
 
 
 # -- experiments ----------------------------------------------------------------------------------------------------

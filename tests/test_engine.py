@@ -1,6 +1,7 @@
 """The engine's own operators on literal inputs."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,17 @@ def test_chunks(spark):
     assert len(e) == 256 and abs(sum(x * x for x in e) - 1) < 1e-9
 
 
+def test_vector_top_in_blocks(spark):
+    v = [(i, [math.sin(i * (j + 1)) for j in range(5)]) for i in range(40)] + [(40, [0.0] * 5), (41, None)]
+    d = spark.createDataFrame(v, "id long, embedding array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((math.hypot(*a) * math.hypot(*b)) or 1)
+    want = {(q, tuple(sorted((i for i, x in v if x), key=lambda i: (-round(cos(v[i][1], v[q][1]), 6), i))[:4])) for q in range(40)}
+    for most in (1000, 3):
+        got = retrieval.vector_top(d, d.where("id < 40"), 4, most_queries=most, digits=6).orderBy("query_id", "rank").collect()
+        assert {(q, tuple(r["id"] for r in got if r["query_id"] == q)) for q in {r["query_id"] for r in got}} == want
+    assert retrieval.vector_top(d, d.where("false")).count() == 0
+
+
 def test_documents(spark):
     b = blocks(spark, "first", "second", "third", section="S")
     r = documents.render(b, spark.createDataFrame([("P", 1, "T", None)], "paper_id string, version int, title string, abstract string")).first()
