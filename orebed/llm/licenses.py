@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import literal_table
+from .shared import let, literal_table
 
 #: Phrases, as words, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -50,6 +50,23 @@ def _words(text: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(PARTING, low) if w))
 
 
+def _windows(text: Column, reach: int, probes: list[str]) -> Column:
+    """The words around each line break that wraps words, `reach` at most on either side and further breaks among them
+    not counted as words, where they hold one of the probes: an array of (block, the line before the break; words, each
+    with the line it stands on)."""
+    lines = F.transform(F.split(text, "\n"), lambda l: F.array_remove(F.split(F.translate(F.regexp_replace(l, PARTING, " "), *LOWER), " "), ""))
+    words = F.flatten(F.transform(lines, lambda ws, i: F.transform(ws, lambda w: F.struct(i.alias("line"), w.alias("word")))))
+
+    def around(ws: Column) -> Column:
+        held = let(F.transform(ws, lambda w: w["word"].isin(probes)), lambda hits: F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: F.element_at(hits, i)))
+        # breaks within reach of a probe: i is the place of the last word before one, from 1
+        at = F.array_distinct(F.flatten(F.transform(held, lambda h: F.sequence(F.greatest(h - reach, F.lit(1)), F.least(h + reach - 1, F.size(ws) - 1)))))
+        at = F.filter(at, lambda i: F.element_at(ws, i)["line"] != F.element_at(ws, i + 1)["line"])
+        return F.transform(at, lambda i: F.struct(F.element_at(ws, i)["line"].alias("block"), F.slice(ws, F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach)) + reach).alias("words")))
+
+    return let(words, lambda ws: F.when(F.size(ws) > 1, around(ws)))
+
+
 def token_order(documents: DataFrame, vocabulary: list[str]) -> list[str]:
     """The vocabulary, rarest first by the number of texts that hold a token, ties by the token itself. Texts count
     their tokens of the vocabulary before the shuffle, which has a row for each token and task."""
@@ -59,8 +76,12 @@ def token_order(documents: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def containment_join(documents: DataFrame, key: list[str], templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.85) -> DataFrame:
-    """Every block (line) of a text with at least threshold of a template's tokens (as sets): key columns, block (place
-    of the line from 0), label, template (number), containment.
+    """Every block of a text with at least threshold of a template's tokens (as sets): key columns, block (place of the
+    line from 0), label, template (number), containment.
+
+    Blocks are lines, and for notices that wrap the words around each line break, as many on either side as the longest
+    template has (block: the line before the break). A block around a break counts for a template only if it holds more
+    of its tokens than the part of any one line in it does: what stands on one line is that line's alone.
 
     Tokens are ordered by their frequency in the documents, rarest first. To hold `least` of a template's n tokens, a
     block must hold one of its n - least + 1 rarest (prefix), have at least `least` tokens itself (length), and behind
@@ -79,21 +100,27 @@ def containment_join(documents: DataFrame, key: list[str], templates: list[tuple
     probes = sorted({x["token"] for x in index})
     spark = documents.sparkSession
     held = "(?i)(?<![0-9a-z\\x{80}-\\x{10FFFF}])(" + "|".join(map(re.escape, probes)) + ")(?![0-9a-z\\x{80}-\\x{10FFFF}])"
-    blocks = (
+    lines = (
         documents.where(F.col("text").rlike(held))
         .select(*key, F.posexplode(F.split("text", "\n")).alias("block", "line"))
         .where(F.col("line").rlike(held))
-        .select(*key, "block", _tokens(F.col("line")).alias("own"))
+        .select(*key, "block", F.lit(False).alias("wraps"), _tokens(F.col("line")).alias("own"), F.lit(None).cast("array<struct<line:int,word:string>>").alias("words"))
     )
+    reach = max((len(re.split(PARTING, t.strip())) for _, t in templates), default=1)
+    wrapped = documents.where(F.col("text").contains("\n") & F.col("text").rlike(held)).select(*key, F.explode(_windows(F.col("text"), reach, probes)).alias("w"))
+    wrapped = wrapped.select(*key, "w.block", F.lit(True).alias("wraps"), F.array_distinct("w.words.word").alias("own"), "w.words")
+    blocks = lines.unionByName(wrapped)
     order = F.from_json(F.lit(_json(rank)), "map<string,int>")
     known = F.array_sort(F.transform(F.array_intersect("own", F.array(*map(F.lit, vocabulary))), lambda w: F.struct(F.element_at(order, w).alias("rank"), w.alias("token"))))
     probed = blocks.select("*", F.array_size("own").alias("size"), known.alias("known")).select("*", F.posexplode("known").alias("at", "one"))
     found = probed.join(F.broadcast(literal_table(spark, index, "token:string,template:int,place:int,n:int,least:int")), F.col("one.token") == F.col("token"))
     found = found.where((F.col("size") >= F.col("least")) & (F.least(F.col("n") - F.col("place"), F.array_size("known") - F.col("at")) >= F.col("least")))
-    first = found.groupBy(*key, "block", "template").agg(F.first("own").alias("own"))
+    first = found.groupBy(*key, "block", "wraps", "template").agg(F.first("own").alias("own"), F.first("words").alias("words"))
     counted = first.join(F.broadcast(literal_table(spark, full, "template:int,label:string,tokens:array<string>,least:int")), "template")
     shared = F.array_size(F.array_intersect("own", "tokens"))
-    return counted.where(shared >= F.col("least")).select(*key, "block", "label", "template", (shared / F.array_size("tokens")).alias("containment"))
+    alone = F.transform(F.array_distinct("words.line"), lambda i: F.array_size(F.array_intersect(F.transform(F.filter("words", lambda w: w["line"] == i), lambda w: w["word"]), F.col("tokens"))))
+    whole = (shared >= F.col("least")) & (~F.col("wraps") | (shared > F.array_max(alone)))
+    return counted.where(whole).select(*key, "block", "label", "template", (shared / F.array_size("tokens")).alias("containment"))
 
 
 def _json(x) -> str:

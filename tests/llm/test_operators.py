@@ -241,6 +241,40 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    of = dict(licenses.TEMPLATES)
+    wrap = lambda t, n, mark: ("\n" + mark).join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    d = [(k * 100 + n, "Lead in.\n\n" + mark + wrap(t, n, mark) + ". Then\nmore words here.") for k, t in enumerate(of.values()) for n, mark in ((1, ""), (3, " * "), (8, "# "), (12, ""))]
+    d += [(2001, "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:")]
+    d += [(2002, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."), (2003, "mozilla public\n" + "far " * 60 + "\nThis Source Code Form is subject to the terms of the License v 2 0")]
+    rng = np.random.default_rng(4)
+    words = sorted({w for t in of.values() for w in licenses._words(t)}) + ["x"] * 9
+    d += [(3000 + i, "".join(w + str(rng.choice([" ", "\n"], p=[0.8, 0.2])) for w in rng.choice(words, 300))) for i in range(20)]
+    d += [(4000 + i, "".join(w + str(rng.choice([" ", "\n", "\n\n"], p=[0.7, 0.2, 0.1])) for w in ("a b " + t + " c").split() if rng.random() > 0.08)) for i in range(20) for t in of.values()]
+    got = {(r["doc_id"], r["block"], r["label"], round(r["containment"], 9)) for r in licenses.containment_join(spark.createDataFrame(d, "doc_id long, text string"), ["doc_id"]).collect()}
+    parts, reach = lambda t: [w for w in __import__("re").split(licenses.PARTING, t.lower()) if w], max(len(t.split()) for t in of.values())
+    want = set()
+    for i, t in d:
+        ws = [(b, w) for b, line in enumerate(t.split("\n")) for w in parts(line)]
+        blocks = [(b, {b: set(parts(line))}) for b, line in enumerate(t.split("\n"))]
+        for j in range(1, len(ws)):
+            if ws[j - 1][0] != ws[j][0]:
+                by = defaultdict(set)
+                for b, w in ws[max(0, j - reach) : j + reach]:
+                    by[b].add(w)
+                blocks.append((ws[j - 1][0], by))
+        for label, template in licenses.TEMPLATES:
+            own = set(licenses._words(template))
+            for b, by in blocks:
+                held = len(own & set().union(*by.values()))
+                if held >= 0.85 * len(own) and (len(by) == 1 or held > max(len(own & x) for x in by.values())):
+                    want.add((i, b, label, round(held / len(own), 9)))
+    assert got == want
+    by = {r["doc_id"]: (set(r["labels"].split(",")), r["score"]) for r in licenses.scan(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    assert by[2001] == ({"bsd-3"}, 1.0) and by[2002] == ({"mpl-2"}, 1.0) and by[2003][1] < 1
+    assert all(label in by[k * 100 + n][0] for k, label in enumerate(of) for n in (1, 3, 8, 12))
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(8, 16))
