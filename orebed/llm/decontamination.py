@@ -5,25 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, let
 
 #: Shingles of all items up to which their set is part of the plan; beyond, documents are joined with them.
 MOST_LITERALS = 100_000
 BITS, BLOCKS = 64, 4
 
 
+def _words(text: Column) -> Column:
+    """Letters and digits, lower case."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
+
+
+def _runs(words: Column, size: int) -> Column:
+    """Hashes of all runs of `size` words, in order; none if there are fewer."""
+    runs = F.transform(F.sequence(F.lit(1), F.array_size(words) - size + 1), lambda i: F.xxhash64(*[F.element_at(words, i + j) for j in range(size)]))
+    return F.when(F.array_size(words) >= size, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def _shingles(text: Column, size: int) -> Column:
-    """Hashes of all runs of `size` words (letters and digits, lower case), in order; of the whole if it has fewer
-    words; none without words."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
+    """Hashes of all runs of `size` words, in order; of the whole if it has fewer words; none without words."""
 
     def of(w: Column) -> Column:
-        n = F.array_size(w)
-        runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(size)]))
-        return F.when(n >= size, runs).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+        out = F.when(F.array_size(w) >= size, _runs(w, size))
+        for n in range(1, size):
+            out = out.when(F.array_size(w) == n, _runs(w, n))
+        return out.otherwise(F.array().cast("array<bigint>"))
+
+    return let(_words(text), of)
+
 
-    # a one-element transform evaluates the words once
-    return F.element_at(F.transform(F.array(words), of), 1)
+def _short(text: Column, size: int) -> Column:
+    return let(_words(text), lambda w: _runs(w, size))
 
 
 def _fingerprint(shingles: Column, weights: Column) -> Column:
@@ -44,12 +57,13 @@ def _similarity(a: Column, b: Column, weights: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, shingles (in order), n (their number), weights: a shingle of k items weighs 1 / k."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", _shingles(F.col("text"), size).alias("shingles")).where(F.size("shingles") > 0).dropDuplicates()
+    """item_id, shingles (in order), n (their number), words (in a shingle: fewer than size if the item has fewer), weights:
+    a shingle of k items weighs 1 / k."""
+    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", _shingles(F.col("text"), size).alias("shingles"), F.least(F.array_size(_words(F.col("text"))), F.lit(size)).alias("words")).where(F.size("shingles") > 0).dropDuplicates()
     held = items.select(F.explode(F.array_distinct("shingles")).alias("h"), "item_id", F.xxhash64("shingles").alias("s"))
     weight = held.groupBy("h").agg((F.lit(1.0) / F.countDistinct("item_id")).alias("w"))
     maps = held.join(weight, "h").groupBy("item_id", "s").agg(F.map_from_entries(F.collect_list(F.struct("h", "w"))).alias("weights"))
-    return items.withColumn("s", F.xxhash64("shingles")).join(maps, ["item_id", "s"]).select("item_id", "shingles", F.array_size("shingles").alias("n"), "weights")
+    return items.withColumn("s", F.xxhash64("shingles")).join(maps, ["item_id", "s"]).select("item_id", "shingles", F.array_size("shingles").alias("n"), "words", "weights")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 15) -> DataFrame:
@@ -59,8 +73,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, shingle_words: int = 5, si
     Windows have as many shingles as the item. A window without a shingle of an item has similarity 0 with it, so only
     windows that line up with one are fingerprinted (the last of a text if it would run over). The 64-bit fingerprints
     are cut into 4 blocks of 16 bits; within `radius` bits some block differs in radius // 4 bits at most, so the
-    items' blocks are stored with all such changes, and a join on equal blocks finds every pair within the radius. The
-    pairs are then held against `similarity` (weighted Jaccard; a shingle of k items weighs 1 / k) on full sets.
+    items' blocks are stored with all such changes, and a join on equal blocks finds every pair within the radius. What
+    fingerprints miss, a window and an item of its length with a common shingle, is taken up exactly. All these pairs are
+    held against `similarity` (weighted Jaccard; a shingle of k items weighs 1 / k) on full sets, whatever their distance.
+    An item of fewer than `shingle_words` words is sought as one shingle of its length in documents of any length.
     Equal windows are compared once; the join of windows by content can be split where many documents hold one.
 
     Null and empty texts, and items without words, have no leaks. Null doc_ids come back as null."""
@@ -69,6 +85,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, shingle_words: int = 5, si
     index = items.select("item_id", "n", F.posexplode("shingles").alias("at", "h"))
     known = [r[0] for r in index.select("h").distinct().limit(MOST_LITERALS + 1).collect()]
     rows = documents.select("doc_id", _shingles(F.col("text"), shingle_words).alias("own"))
+    for short in sorted(r[0] for r in items.where(F.col("words") < shingle_words).select("words").distinct().collect()):
+        rows = rows.unionByName(documents.select("doc_id", _short(F.col("text"), short).alias("own")))
     if len(known) <= MOST_LITERALS:
         hits = F.filter(F.transform("own", lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda x: x["h"].isin(known)) if known else F.array().cast("array<struct<i:int,h:bigint>>")
         hit = rows.withColumn("hits", hits).where(F.size("hits") > 0).select("doc_id", "own", F.explode("hits").alias("x"))
@@ -90,8 +108,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, shingle_words: int = 5, si
     stored = marks.select("item_id", "n", F.posexplode(F.array(*[part(F.col("item_print"), b) for b in range(BLOCKS)])).alias("block", "value")).select("item_id", F.col("n").alias("item_n"), "block", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("value")))).alias("value"))
     probes = prints.select("n", "content", F.posexplode(F.array(*[part(F.col("print"), b) for b in range(BLOCKS)])).alias("block", "value"))
     pairs = probes.join(stored, ["block", "value"]).where(F.col("n") == F.col("item_n")).select("n", "content", "item_id").distinct()
+    shared = items.select("item_id", "n", F.explode(F.array_distinct("shingles")).alias("h"))
+    pairs = pairs.union(ones.select("n", "content", F.explode(F.array_distinct("window")).alias("h")).join(shared, ["n", "h"]).select("n", "content", "item_id")).distinct()
     full = pairs.join(prints, ["n", "content"]).join(marks.drop("n"), "item_id")
-    full = full.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("distance") <= radius)
+    full = full.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
     full = full.withColumn("similarity", _similarity(F.col("window"), F.col("shingles"), F.col("weights"))).where(F.col("similarity") >= similarity)
     sure = full.select("n", "content", "item_id", "distance", "similarity")
     found = windows.select("doc_id", "n", "content", "start").join(sure, ["n", "content"])

@@ -218,6 +218,19 @@ def test_decontamination(spark, docs, none):
     assert decontamination.leaks(none, items).count() == 0 and decontamination.leaks(d, items.where("false")).count() == 0
 
 
+def test_decontamination_beyond_the_radius_and_of_short_items(spark):
+    of = lambda i: [f"w{x}" for x in np.random.default_rng(i).integers(0, 10**6, 50)]
+    items = [(i, " ".join(of(i))) for i in range(300)] + [(901, "one"), (902, "Two three"), (903, "four five six seven"), (904, "Eight nine ten eleven twelve")]
+    d = [(i, " ".join(["before", *of(i)[:25], "changed", *of(i)[26:], "after"])) for i in range(300)]
+    d += [(1001, "there is one here"), (1002, "ten: two, THREE and four words"), (1003, "so four five six seven eight nine"), (1004, "two and three"), (1005, "eight nine ten eleven twelve."), (1006, "Two three"), (None, "just one")]
+    d = spark.createDataFrame(d, "doc_id long, text string")
+    got = decontamination.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(i, i) for i in range(300)} | {(1001, 901), (1002, 902), (1003, 903), (1005, 904), (1006, 902), (None, 901)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert any(r["distance"] > 15 for r in got) and {r["first_shingle"] for r in got if r["doc_id"] == 1002} == {1}
+    assert all(math.isclose(r["similarity"], 41 / 51 if r["n_shingles"] > 1 else 1) for r in got)
+
+
 def test_licenses(spark, docs, none):
     more = [(60, "Under the MIT license, under THE mit License"), (61, "CC-BY-NC apache License, version 2.0"), (62, "under the mit licenses"), (63, "text\nReleased under the MIT License.\nmore"), (64, "This work is licensed under the GNU General Public License, version 3."), (60, "Under the MIT license, under THE mit License")]
     d = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
