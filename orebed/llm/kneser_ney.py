@@ -52,7 +52,7 @@ def coded_batches(documents: DataFrame, most_words: int = 1_000_000) -> DataFram
                 }
             )
 
-        for part in parts:
+        for part in shared.few_rows(parts):
             for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 own = (t or b"").translate(shared.UPPER).split()
                 ids.append(NULL_ID if i is None else i)
@@ -64,7 +64,6 @@ def coded_batches(documents: DataFrame, most_words: int = 1_000_000) -> DataFram
         if ids:
             yield flush()
 
-    shared.small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, CODED_DDL)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import few_rows
 
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 PACKED_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -107,7 +107,7 @@ def tokenize_pieces(
         if not (quick and parted and all(quick.encode(w.encode().decode("latin-1").translate(byte_letters)).ids == encode(w).tolist() for w in same)):
             quick = None
         end, step, known, old = np.array([end_id], "<u4").tobytes(), 4 * max_len, {}, {}
-        for part in parts:
+        for part in few_rows(parts):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             split = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
             here = set().union(*split)
@@ -159,7 +159,6 @@ def tokenize_pieces(
                 {k: pa.array(v, pa.int32() if k == "piece" else pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()}
             )
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES_DDL)
 
 

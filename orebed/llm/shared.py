@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -19,14 +20,15 @@ ARROW_ROWS = 256
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or SparkContext.setCheckpointDir's. Where neither
+    is set, a folder of this machine if Spark runs in this process alone (tests), else an error: on a cluster no other
+    folder is shared."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
-        kept = spark.sparkContext.getCheckpointDir()
-        root = kept or f"file://{tempfile.mkdtemp(prefix='orebed-')}"
-        if not kept:
-            spark.sparkContext.setCheckpointDir(root)
-            root = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='orebed-')}")
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -34,47 +36,73 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts can be long: lower the rows in an Arrow batch of this session to ARROW_ROWS."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def few_rows(parts: Iterable[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of a few rows: what a step makes of texts takes many times their memory."""
+    for p in parts:
+        for at in range(0, p.num_rows, rows):
+            yield p.slice(at, rows)
 
 
 class Scratch:
     """Tables written to the shared folder. They cut lineage, so that a lost executor costs one step, and let Spark
-    free the shuffle files of the steps before. They go when the driver ends, or earlier by drop()."""
+    free the shuffle files of the steps before. They go with drop(), drop_scratch() or the driver's end."""
+
+    #: Folders of the tables that are there.
+    live: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/orebed-{name}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
-
-    def _remove(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            if jvm is None:
-                return
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended; the folder is scratch
-            pass
+        atexit.register(_remove, self.root)
+        Scratch.live.append(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.free()  # what the step before still held while it was saved
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.free()
         return out
 
     def drop(self, name: str) -> None:
-        self._remove(f"{self.root}/{name}")
+        _remove(f"{self.root}/{name}")
 
     def free(self) -> None:
+        """Lets Spark's cleaner see which shuffles nothing needs any more: it removes their files."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
 
+def _remove(path: str) -> None:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is None or spark.sparkContext._jvm is None:
+            return
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended; the folder is scratch
+        pass
+
+
+def drop_scratch(keep: Iterable[str] = ()) -> None:
+    """Removes the scratch tables of all operators called so far, but the folders of `keep`. For long sessions, once the
+    results that were asked for are written: a result that isn't can't be computed afterwards."""
+    held = list(keep)
+    for root in Scratch.live:
+        if root not in held:
+            _remove(root)
+    Scratch.live[:] = held
+
+
+#: Rows of keys (two numbers each) that are sent to all executors; more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def counted_broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, a written table of a few numbers a row, marked for broadcast if it has at most `most` rows: this counts them."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def literal_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A small table of fixed size, as a literal of the plan."""
     import json
@@ -154,7 +182,7 @@ def text_batches(docs: DataFrame, most_bytes: int = 6 << 20) -> DataFrame:
                 }
             )
 
-        for part in parts:
+        for part in few_rows(parts):
             for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 ids.append(NULL_ID if i is None else i)
                 texts.append(t)
@@ -166,7 +194,6 @@ def text_batches(docs: DataFrame, most_bytes: int = 6 << 20) -> DataFrame:
         if ids:
             yield flush()
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BATCH_DDL)
 
 
