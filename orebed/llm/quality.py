@@ -118,7 +118,9 @@ def training_row(doc_id: Column) -> Column:
 def train(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000, seed: int = 0) -> RuleEnsemble:
     """Fits on at most most_rows labelled training rows, those first by a hash of their id.
 
-    Labels other than 0 and 1 take no part; a document with several labels has their mean, at least a half being 1."""
+    Labels other than 0 and 1 take no part; a document with several labels has their mean, at least a half (a tie) being 1.
+    A null doc_id has no label. Null texts count as empty; repeated rows each count. Without labelled rows, or tables, the
+    model scores every text alike (a half without any label). Columns but doc_id, text and quality take no part."""
     known = labels.where(F.col("quality").isin(0, 1) & training_row(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("q"))
     some = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # most_rows small rows at most
@@ -130,5 +132,7 @@ def train(documents: DataFrame, labels: DataFrame, most_rows: int = 20_000, seed
 def score(documents: DataFrame, model: RuleEnsemble, text: str = "text", name: str = "score") -> DataFrame:
     """documents with the model's score (0 to 1; higher: better) of each whole text, in Spark columns only.
 
-    Null and empty texts have the score of an empty text; repeated rows and other columns stay."""
+    A column called `name` that is there already is replaced; all other columns and repeated rows stay. Null and empty
+    texts have the score of an empty text; whole texts count, of any length; equal texts have equal scores. An empty table
+    gives no rows."""
     return documents.withColumn(name, let(statistics(F.col(text)), lambda x: model.column([x[n] for n in STATISTICS])))
