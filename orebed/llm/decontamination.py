@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, let
+from .shared import Scratch, counted_broadcast, let
 
 #: Shingles of all items up to which their set is part of the plan; beyond, documents are joined with them.
 MOST_LITERALS = 100_000
@@ -63,64 +63,103 @@ def items_of(benchmark: DataFrame, size: int) -> DataFrame:
     held = items.select(F.explode(F.array_distinct("shingles")).alias("h"), "item_id", F.xxhash64("shingles").alias("s"))
     weight = held.groupBy("h").agg((F.lit(1.0) / F.countDistinct("item_id")).alias("w"))
     maps = held.join(weight, "h").groupBy("item_id", "s").agg(F.map_from_entries(F.collect_list(F.struct("h", "w"))).alias("weights"))
-    return items.withColumn("s", F.xxhash64("shingles")).join(maps, ["item_id", "s"]).select("item_id", "shingles", F.array_size("shingles").alias("n"), "words", "weights")
+    return items.withColumn("s", F.xxhash64("shingles")).join(maps, ["item_id", "s"]).select("item_id", "s", "shingles", F.array_size("shingles").alias("n"), "words", "weights")
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 15) -> DataFrame:
-    """Items that documents hold, a row for each (doc_id, item_id): similarity (the best window's), distance (of its
-    fingerprint), first_shingle (the window's first word, from 0), n_shingles (of the item).
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    """Two hashes that name a row by its id and its text, nulls too."""
+    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(1), text, doc_id).alias("k2")]
 
-    Windows have as many shingles as the item. A window without a shingle of an item has similarity 0 with it, so only
-    windows that line up with one are fingerprinted (the last of a text if it would run over). The 64-bit fingerprints
-    are cut into 4 blocks of 16 bits; within `radius` bits some block differs in radius // 4 bits at most, so the
-    items' blocks are stored with all such changes, and a join on equal blocks finds every pair within the radius. What
-    fingerprints miss, a window and an item of its length with a common shingle, is taken up exactly. All these pairs are
-    held against `similarity` (weighted Jaccard; a shingle of k items weighs 1 / k) on full sets, whatever their distance.
-    An item of fewer than `shingle_words` words is sought as one shingle of its length in documents of any length.
-    Equal windows are compared once; the join of windows by content can be split where many documents hold one.
 
-    Null and empty texts, and items without words, have no leaks. Null doc_ids come back as null."""
-    spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "leaks")
+def found(documents: DataFrame, benchmark: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 15) -> DataFrame:
+    """leaks() with the key of the row (k1, k2), in a written table."""
+    scratch = Scratch(documents.sparkSession, "leaks")
     items = scratch.save(items_of(benchmark, shingle_words), "items")
-    index = items.select("item_id", "n", F.posexplode("shingles").alias("at", "h"))
+    index = scratch.save(items.select("item_id", "s", "n", "words", F.explode("weights").alias("h", "w")), "index")
     known = [r[0] for r in index.select("h").distinct().limit(MOST_LITERALS + 1).collect()]
-    rows = documents.select("doc_id", _shingles(F.col("text"), shingle_words).alias("own"))
-    for short in sorted(r[0] for r in items.where(F.col("words") < shingle_words).select("words").distinct().collect()):
-        rows = rows.unionByName(documents.select("doc_id", _short(F.col("text"), short).alias("own")))
+    sizes = sorted(r[0] for r in items.select("words").distinct().collect())  # shingle_words numbers at most
+    rows = None
+    for size in sizes or [shingle_words]:
+        own = documents.select("doc_id", "text", F.lit(size).alias("words"), _short(F.col("text"), size).alias("own"))
+        rows = own if rows is None else rows.unionByName(own)
+    # 1. where shingles of items stand
     if len(known) <= MOST_LITERALS:
         hits = F.filter(F.transform("own", lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda x: x["h"].isin(known)) if known else F.array().cast("array<struct<i:int,h:bigint>>")
-        hit = rows.withColumn("hits", hits).where(F.size("hits") > 0).select("doc_id", "own", F.explode("hits").alias("x"))
-        index = F.broadcast(index)  # MOST_LITERALS different shingles at most; checked above
+        hit = rows.withColumn("hits", hits).where(F.size("hits") > 0).select("doc_id", *_row_key(F.col("doc_id"), F.col("text")), "words", F.array_size("own").alias("m"), F.explode("hits").alias("x")).select("doc_id", "k1", "k2", "words", "m", "x.*")
     else:
-        hit = rows.select("doc_id", "own", F.posexplode("own").alias("i", "h")).select("doc_id", "own", F.struct("i", "h").alias("x"))
-    lined = hit.join(index, F.col("x.h") == F.col("h"))
-    start = F.greatest(F.lit(0), F.least(F.col("x.i") - F.col("at"), F.array_size("own") - F.col("n")))
-    windows = lined.select("doc_id", "n", start.cast("int").alias("start"), "own").select("doc_id", "n", "start", F.slice("own", F.col("start") + 1, F.col("n")).alias("window"))
-    windows = windows.withColumn("content", F.xxhash64("window")).groupBy("doc_id", "n", "content").agg(F.min("start").alias("start"), F.first("window").alias("window"))
-    windows = scratch.save(windows, "windows")
+        hit = rows.select("doc_id", *_row_key(F.col("doc_id"), F.col("text")), "words", F.array_size("own").alias("m"), F.posexplode("own").alias("i", "h"))
+    # 2. windows with enough of an item's weight, by votes of the places for all windows that hold them
+    total = items.select("item_id", "s", F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    voted = hit.join(counted_broadcast(index), ["words", "h"]).select("doc_id", "k1", "k2", "words", "m", "item_id", "s", "n", "i", "w").distinct()
+    by = ["k1", "k2", "words", "item_id", "s"]
+    enough = similarity * (1 - 1e-9)
+    some = scratch.save(voted, "votes")
+    held = some.groupBy(*by).agg(F.sum("w").alias("sum")).join(total, ["item_id", "s"]).where(F.col("sum") >= enough * F.col("total")).select(*by, "total")
+    voting = some.join(held, by)
+    last = F.greatest(F.col("m") - F.col("n"), F.lit(0))
+    spread = voting.select("doc_id", *by, "n", "total", "w", F.explode(F.sequence(F.least(F.greatest(F.col("i") - F.col("n") + 1, F.lit(0)), last), F.least(F.col("i"), last))).alias("start"))
+    starts = spread.groupBy(*by, "n", "start").agg(F.first("doc_id").alias("doc_id"), F.sum("w").alias("votes"), F.first("total").alias("total")).where(F.col("votes") >= enough * F.col("total"))
+    starts = scratch.save(starts.select("doc_id", *by, "n", "start"), "starts")
+    # 3. these windows, from the rows that hold them
+    wanted = scratch.save(starts.select("k1", "k2", "words").distinct(), "wanted")
+    keyed = documents.select("text", *_row_key(F.col("doc_id"), F.col("text"))).join(counted_broadcast(wanted), ["k1", "k2"]).dropDuplicates(["k1", "k2", "words"])
+    of_size = F.array().cast("array<bigint>")
+    for size in sizes:
+        of_size = F.when(F.col("words") == size, _short(F.col("text"), size)).otherwise(of_size)
+    keyed = keyed.select("k1", "k2", "words", of_size.alias("own"))
+    cut = keyed.join(starts.select("k1", "k2", "words", "n", "start").distinct(), ["k1", "k2", "words"]).select("k1", "k2", "words", "n", "start", F.expr("slice(own, start + 1, n)").alias("window"))
+    windows = scratch.save(cut.withColumn("content", F.xxhash64("window")), "windows")
+    # 4. fingerprints in blocks: every pair within the radius, and what only votes have found
     no_weights = F.create_map().cast("map<bigint,double>")
-    ones = windows.groupBy("n", "content").agg(F.first("window").alias("window"))
-    prints = ones.withColumn("print", _fingerprint(F.col("window"), no_weights))
-    marks = items.withColumn("item_print", _fingerprint(F.col("shingles"), no_weights))
+    ones = windows.groupBy("words", "n", "content").agg(F.first("window").alias("window"))
+    prints = scratch.save(ones.withColumn("print", _fingerprint(F.col("window"), no_weights)), "prints")
+    marks = scratch.save(items.withColumn("item_print", _fingerprint(F.col("shingles"), no_weights)), "marks")
     part = lambda p, b: F.call_function("shiftrightunsigned", p, F.lit(16 * b)).bitwiseAND(F.lit(0xFFFF).cast("long"))
     near = [m for m in range(1 << 16) if m.bit_count() <= radius // BLOCKS]
     masks = F.from_json(F.lit(str(near)), "array<bigint>")
-    stored = marks.select("item_id", "n", F.posexplode(F.array(*[part(F.col("item_print"), b) for b in range(BLOCKS)])).alias("block", "value")).select("item_id", F.col("n").alias("item_n"), "block", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("value")))).alias("value"))
-    probes = prints.select("n", "content", F.posexplode(F.array(*[part(F.col("print"), b) for b in range(BLOCKS)])).alias("block", "value"))
-    pairs = probes.join(stored, ["block", "value"]).where(F.col("n") == F.col("item_n")).select("n", "content", "item_id").distinct()
-    shared = items.select("item_id", "n", F.explode(F.array_distinct("shingles")).alias("h"))
-    pairs = pairs.union(ones.select("n", "content", F.explode(F.array_distinct("window")).alias("h")).join(shared, ["n", "h"]).select("n", "content", "item_id")).distinct()
-    full = pairs.join(prints, ["n", "content"]).join(marks.drop("n"), "item_id")
+    stored = marks.select("item_id", "s", "words", "n", F.posexplode(F.array(*[part(F.col("item_print"), b) for b in range(BLOCKS)])).alias("block", "value")).select("item_id", "s", "words", "n", "block", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("value")))).alias("value"))
+    probes = prints.select("words", "n", "content", F.posexplode(F.array(*[part(F.col("print"), b) for b in range(BLOCKS)])).alias("block", "value"))
+    # many rows for each item: never broadcast
+    pairs = probes.join(stored.hint("merge"), ["words", "n", "block", "value"]).select("words", "n", "content", "item_id", "s")
+    by_votes = starts.join(windows.select("k1", "k2", "words", "n", "start", "content"), ["k1", "k2", "words", "n", "start"]).select("words", "n", "content", "item_id", "s")
+    pairs = scratch.save(pairs.unionByName(by_votes).distinct(), "pairs")
+    # 5. full sets decide
+    full = pairs.join(prints, ["words", "n", "content"]).join(marks.select("item_id", "s", "shingles", "weights", "item_print"), ["item_id", "s"])
     full = full.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
     full = full.withColumn("similarity", _similarity(F.col("window"), F.col("shingles"), F.col("weights"))).where(F.col("similarity") >= similarity)
-    sure = full.select("n", "content", "item_id", "distance", "similarity")
-    found = windows.select("doc_id", "n", "content", "start").join(sure, ["n", "content"])
+    sure = scratch.save(full.select("words", "n", "content", "item_id", "distance", "similarity"), "sure")
+    at = windows.select("k1", "k2", "words", "n", "start", "content").join(sure, ["words", "n", "content"])
     best = F.max_by(F.struct("similarity", "distance", "start", "n"), F.struct("similarity", -F.col("start"))).alias("b")
-    out = found.groupBy("doc_id", "item_id").agg(best)
-    return out.select("doc_id", "item_id", "b.similarity", "b.distance", F.col("b.start").alias("first_shingle"), F.col("b.n").alias("n_shingles"))
+    out = at.groupBy("k1", "k2", "item_id").agg(best).join(starts.select("k1", "k2", "doc_id").distinct(), ["k1", "k2"])
+    return scratch.save(out.select("k1", "k2", "doc_id", "item_id", "b.similarity", "b.distance", F.col("b.start").alias("first_shingle"), F.col("b.n").alias("n_shingles")), "found")
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """Items that documents hold, a row for each (doc_id, item_id): similarity (the best window's; of equals the first),
+    distance (of its fingerprint), first_shingle (the window's first word, from 0), n_shingles (of the item).
+
+    Windows have as many shingles as the item; a shorter text is one window. All windows of a text that can reach
+    `similarity` are taken: each place of an item's shingle votes with its weight for all windows that hold it, and a
+    window with less than `similarity` of the item's weight can't reach it. Their 64-bit fingerprints are cut into 4
+    blocks of 16 bits; within `radius` bits some block differs in radius // 4 bits at most, so the items' blocks are
+    stored with all such changes, and a join on equal blocks finds every pair within the radius. A window and the item
+    that it was voted for are a pair too, so that nothing beyond the radius is lost. Pairs are held against
+    `similarity` (weighted Jaccard; a shingle of k items weighs 1 / k) on full sets. An item of fewer than
+    `shingle_words` words is sought as one shingle of its length. Equal windows are compared once.
+
+    Words are letters and digits, lower case. Null and empty texts, and items without words, have no leaks; whole texts
+    count, of any length. Null doc_ids come back as null; an item with a null item_id is no item. Repeated rows (equal
+    doc_id and text) give one row; rows of one doc_id with several texts the best window of them all. Empty tables: no
+    rows. Other columns take no part."""
+    best = F.max_by(F.struct("similarity", "distance", "first_shingle", "n_shingles"), F.struct("similarity", -F.col("first_shingle"))).alias("b")
+    return found(documents, benchmark, **how).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """documents without those that hold an item of the benchmark; all other rows and columns as they are."""
-    bad = leaks(documents, benchmark, **how).select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """documents without the rows whose text holds an item of the benchmark: with any doc_id, null too, and those rows
+    only, whatever else shares their doc_id. All other rows, repeated ones too, and all columns stay as they are."""
+    scratch = Scratch(documents.sparkSession, "clean")
+    bad = scratch.save(found(documents, benchmark, **how).select("k1", "k2").distinct(), "bad")
+    bad = counted_broadcast(bad)
+    k1, k2 = (F.xxhash64(F.col("doc_id"), F.col("text")), F.xxhash64(F.lit(1), F.col("text"), F.col("doc_id")))
+    return documents.join(bad, (k1 == bad["k1"]) & (k2 == bad["k2"]), "left_anti")
