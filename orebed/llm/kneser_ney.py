@@ -90,6 +90,24 @@ def pair_buckets(before: np.ndarray, pairs: np.ndarray, hot: np.ndarray, buckets
     return np.searchsorted(_edges(buckets), by, side="right")
 
 
+def in_turn(hashes: np.ndarray, before: np.ndarray, hot: np.ndarray, buckets: int, first: int, end: int) -> np.ndarray:
+    """Which tokens have a context (a code of ascending hashes) whose pairs may lie in the shards from first to end."""
+    lo, hi = np.searchsorted(hashes, _range_begin(first, buckets)), np.searchsorted(hashes, _range_begin(end, buckets)) if end < buckets else len(hashes)
+    takes = np.zeros(len(hashes), bool)
+    takes[lo:hi] = True
+    takes[np.searchsorted(hashes, hot[np.isin(hot, hashes)])] = True
+    return takes[before]
+
+
+def _range_begin(bucket: int, buckets: int) -> np.uint64:
+    return np.uint64(-(-(bucket << 64) // buckets))
+
+
+def turn_ranges(buckets: int, turns: int) -> list[tuple[int, int]]:
+    turns = min(turns, buckets)
+    return [(buckets * t // turns, buckets * (t + 1) // turns) for t in range(turns)]
+
+
 def _edges(buckets: int) -> np.ndarray:
     return np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
 
@@ -145,9 +163,9 @@ def look_up(keys: np.ndarray, values: list[np.ndarray], asked: np.ndarray) -> li
 @dataclass
 class Model:
     """Shards (bucket, and packed arrays, in two rows: pairs with counts and contexts with four sums; words with counts and
-    continuation counts) and what all of them share."""
+    continuation counts), a table for each range of buckets from first to end, and what all of them share."""
 
-    shards: DataFrame
+    shards: list[tuple[int, int, DataFrame]]
     buckets: int
     tokens: int
     vocabulary: int
@@ -158,10 +176,15 @@ class Model:
     hot: dict[int, tuple[int, int, int, int]]
 
 
-def train(coded: DataFrame, scratch: Scratch, turns: int = 2) -> Model:
+#: Contexts at most whose pairs lie in all shards; their list goes to the driver and to all tasks.
+MOST_HOT = 4096
+
+
+def train(coded: DataFrame, scratch: Scratch, turns: int = 4) -> Model:
     """Counts all pairs of tokens of the training documents. Batches count before they send; a context with more than
-    1 / (2 * shards) of the tokens has its pairs in all shards, so the list of such contexts is short. Shards take
-    turns, so that not all pairs lie on disk at once."""
+    1 / (2 * shards) of the tokens has its pairs in all shards. There are at most MOST_HOT such contexts: with more shards
+    than half of that, a context needs 1 / MOST_HOT of the tokens, and those with fewer fill a shard alone at worst.
+    Ranges of shards take turns, so that not all pairs lie on disk at once; a turn handles only its own tokens."""
     spark = coded.sparkSession
     buckets = max(shared.partitions(spark), coded.count() // 4)
     words_ddl = "bucket long, hashes binary, counts binary"
@@ -198,27 +221,29 @@ def train(coded: DataFrame, scratch: Scratch, turns: int = 2) -> Model:
     words = coded.mapInArrow(send_words, words_ddl).groupBy("bucket").applyInArrow(sum_words, f"{words_ddl}, tokens long, kinds long")
     words = scratch.save(words, "words")
     tokens, vocabulary = (int(x or 0) for x in words.agg(F.sum("tokens"), F.sum("kinds")).first())
-    limit = max(1000, tokens // (2 * buckets))
+    limit = max(1000, tokens // min(2 * buckets, MOST_HOT - 1))
 
     def frequent(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for h, n in zip(part.column("hashes").to_pylist(), part.column("counts").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_pydict({"h": pa.array(unpack_sorted(h)[unpack_planes(n) > limit].view(np.int64), pa.int64())})
 
-    # 2 * buckets words at most have so many tokens; BEGIN is a context of every text
+    # MOST_HOT - 1 words at most have so many tokens; BEGIN is a context of every text
     hot = np.array(sorted({r[0] for r in words.select("hashes", "counts").mapInArrow(frequent, "h long").collect()} | {int(BEGIN.view(np.int64))}), np.int64).view(np.uint64)
 
-    def send_pairs(parts: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+    def send_pairs(parts: Iterator[pa.RecordBatch], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in part.to_pylist():
                 hashes, now, before = training(row)
+                mine = in_turn(hashes, before, hot, buckets, lo, hi)
+                now, before = now[mine], before[mine]
                 pair, n = np.unique(before * len(hashes) + now, return_counts=True)
                 a, b = hashes[pair // len(hashes)], hashes[pair % len(hashes)]
                 where = pair_buckets(a, pair_hash(a, b), hot, buckets)
                 order = np.argsort(where, kind="stable")  # contexts ascend within a bucket
                 a, b, n = a[order], b[order], n[order]
                 cut = np.searchsorted(where[order], np.arange(buckets + 1))
-                some = np.arange(turn, buckets, turns)
+                some = np.arange(lo, hi)
                 some = some[cut[some + 1] > cut[some]]
                 yield rows_of([(int(k), pack_sorted(a[cut[k] : cut[k + 1]]), pack_planes(b[cut[k] : cut[k + 1]].view(np.int64)), pack_planes(n[cut[k] : cut[k + 1]])) for k in some], ["bucket", "a", "b", "counts"])
 
@@ -256,10 +281,11 @@ def train(coded: DataFrame, scratch: Scratch, turns: int = 2) -> Model:
             }
         )
 
-    halves = []
-    for turn in range(turns):
-        sent = coded.mapInArrow(lambda parts, turn=turn: send_pairs(parts, turn), "bucket long, a binary, b binary, counts binary")
+    ranges, halves = turn_ranges(buckets, turns), []
+    for turn, (lo, hi) in enumerate(ranges):
+        sent = coded.mapInArrow(lambda parts, lo=lo, hi=hi: send_pairs(parts, lo, hi), "bucket long, a binary, b binary, counts binary")
         halves.append(scratch.save(sent.groupBy("bucket").applyInArrow(sum_pairs, pair_ddl), f"pairs-{turn}"))
+        del sent
     counted = reduce(DataFrame.unionByName, halves)
     got = counted.agg(*[F.sum(c) for c in ("kinds", "n1", "n2", "n3", "n4")]).first()
     pairs, pair_d = int(got[0] or 0), discounts([int(x or 0) for x in got[1:]])
@@ -282,19 +308,19 @@ def train(coded: DataFrame, scratch: Scratch, turns: int = 2) -> Model:
     m = [int(x or 0) for x in level.agg(*[F.sum(f"m{i}") for i in (1, 2, 3, 4, 5)]).first()]
     word_d = discounts(m[:4])
     rest = (word_d[0] * m[0] + word_d[1] * m[1] + word_d[2] * m[4]) / pairs if pairs else 1.0
-    counted = scratch.save(counted.select("bucket", "pairs", "pair_counts", "contexts", "context_sums"), "shards")
     scratch.drop("words")
-    for turn in range(turns):
-        scratch.drop(f"pairs-{turn}")
     # a shard's pairs and words are two rows, which the answers put together: no join moves them before
-    pair_rows = counted.select("bucket", "pairs", "pair_counts", "contexts", "context_sums", *[F.lit(None).cast("binary").alias(c) for c in ("words", "word_counts", "conts")])
-    shards = pair_rows.unionByName(level.select("bucket", "words", "word_counts", "conts"), allowMissingColumns=True)
+    shards = []
+    for (lo, hi), own in zip(ranges, halves, strict=True):
+        pair_rows = own.select("bucket", "pairs", "pair_counts", "contexts", "context_sums", *[F.lit(None).cast("binary").alias(c) for c in ("words", "word_counts", "conts")])
+        word_rows = level.where((F.col("bucket") >= lo) & (F.col("bucket") < hi)).select("bucket", "words", "word_counts", "conts")
+        shards.append((lo, hi, pair_rows.unionByName(word_rows, allowMissingColumns=True)))
     return Model(shards, buckets, tokens, vocabulary, pairs, word_d, pair_d, rest, hot_sums)
 
 
-def score(coded: DataFrame, model: Model, scratch: Scratch, turns: int = 2) -> DataFrame:
+def score(coded: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """Each document's sums; see score_documents. Batches ask each shard once for all that they need of it; workers
-    memory-map a shard's arrays while they answer. The shards take turns, so that not all questions lie on disk at once."""
+    memory-map a shard's arrays while they answer. Ranges of shards take turns, so that not all questions lie on disk at once."""
     buckets, hot = model.buckets, np.array(sorted(model.hot), np.int64).view(np.uint64)
 
     def asks(row: dict):
@@ -306,13 +332,19 @@ def score(coded: DataFrame, model: Model, scratch: Scratch, turns: int = 2) -> D
         order = np.lexsort((g, where))
         return ids, lens, hashes, now, inverse, a, b, g, where, order
 
-    def send(parts: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+    def send(parts: Iterator[pa.RecordBatch], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in part.to_pylist():
-                _, _, hashes, _, _, _, _, g, where, order = asks(row)
+                _, _, hashes, now, before = open_coded(row)
+                mine = in_turn(hashes, before, hot, buckets, lo, hi)
+                pair = np.unique(before[mine] * len(hashes) + now[mine])
+                a = hashes[pair // len(hashes)]
+                g = pair_hash(a, hashes[pair % len(hashes)])
+                where = pair_buckets(a, g, hot, buckets)
+                order = np.lexsort((g, where))
                 cut, pairs = shared.bucket_bounds(hashes, buckets), g[order]
                 to = np.searchsorted(where[order], np.arange(buckets + 1))
-                some = [k for k in range(turn, buckets, turns) if cut[k + 1] > cut[k] or to[k + 1] > to[k]]
+                some = [k for k in range(lo, hi) if cut[k + 1] > cut[k] or to[k + 1] > to[k]]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "bucket": pa.array(some, pa.int64()),
@@ -372,11 +404,12 @@ def score(coded: DataFrame, model: Model, scratch: Scratch, turns: int = 2) -> D
 
     model_hot = {np.int64(k).view(np.uint64): v for k, v in model.hot.items()}
     model_d1, model_rest, model_pairs = model.word_discounts, model.word_rest, model.pairs
-    shards, told = model.shards.withColumnRenamed("bucket", "shard"), []
-    for turn in range(turns):
-        asked = coded.mapInArrow(lambda parts, turn=turn: send(parts, turn), "bucket long, batch long, words binary, pairs binary")
-        answers = shards.where(F.col("shard") % turns == turn).groupBy("shard").cogroup(asked.groupBy("bucket"))
+    told = []
+    for turn, (lo, hi, shards) in enumerate(model.shards):
+        asked = coded.mapInArrow(lambda parts, lo=lo, hi=hi: send(parts, lo, hi), "bucket long, batch long, words binary, pairs binary")
+        answers = shards.withColumnRenamed("bucket", "shard").groupBy("shard").cogroup(asked.groupBy("bucket"))
         told.append(scratch.save(answers.applyInArrow(answer, "batch long, bucket long, counts binary, pairs binary"), f"replies-{turn}"))
+        del asked, answers
     replies = reduce(DataFrame.unionByName, told).withColumnRenamed("batch", "of")
     return coded.groupBy("batch").cogroup(replies.groupBy("of")).applyInArrow(combine, SCORED_DDL)
 
@@ -391,6 +424,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "kneser-ney")
     coded = scratch.save(coded_batches(documents), "coded")
     scored = score(coded, train(coded, scratch), scratch)
-    for name in ("shards", "level"):  # the answers are stored
+    for name in ("level", *(f"pairs-{t}" for t in range(4))):  # the answers are stored
         scratch.drop(name)
+    scratch.free()
     return scored
