@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, counted_broadcast, let
+from .shared import Scratch, counted_broadcast, let, partitions
 
 #: Shingles of all items up to which their set is part of the plan; beyond, documents are joined with them.
 MOST_LITERALS = 100_000
@@ -112,7 +112,8 @@ def found(documents: DataFrame, benchmark: DataFrame, shingle_words: int = 5, si
     # 4. fingerprints in blocks: every pair within the radius, and what only votes have found
     no_weights = F.create_map().cast("map<bigint,double>")
     ones = windows.groupBy("words", "n", "content").agg(F.first("window").alias("window"))
-    prints = scratch.save(ones.withColumn("print", _fingerprint(F.col("window"), no_weights)), "prints")
+    # few bytes, much work: dealt to all tasks
+    prints = scratch.save(ones.repartition(partitions(documents.sparkSession), "content").withColumn("print", _fingerprint(F.col("window"), no_weights)), "prints")
     marks = scratch.save(items.withColumn("item_print", _fingerprint(F.col("shingles"), no_weights)), "marks")
     part = lambda p, b: F.call_function("shiftrightunsigned", p, F.lit(16 * b)).bitwiseAND(F.lit(0xFFFF).cast("long"))
     near = [m for m in range(1 << 16) if m.bit_count() <= radius // BLOCKS]
