@@ -57,9 +57,14 @@ class Scratch:
         Scratch.live.append(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path, key = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
         self.free()  # what the step before still held while it was saved
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        rows = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(min(int(rows), ARROW_ROWS) if int(rows) > 0 else ARROW_ROWS))  # for this step alone
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, rows)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.free()
         return out
