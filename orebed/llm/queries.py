@@ -53,7 +53,8 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(_documents(spark, sf_dir), secret_scan.train(spark))
+    docs = _documents(spark, sf_dir)
+    return secret_scan.scan(docs, secret_scan.train(spark, corpus=docs))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
