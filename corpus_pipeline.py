@@ -53,7 +53,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts masked and n_chars counted anew."""
-    masked = secret_scan.redact(docs, secret_scan.train(spark))
+    masked = secret_scan.redact(docs, secret_scan.train(spark, corpus=docs))
     if "n_chars" in masked.columns:
         masked = masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return masked.select(docs.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, literal_table
+from .shared import Scratch, few_rows, literal_table, partitions
 
 #: Vectors of one cell in one row group of the index.
 BLOCK = 4096
@@ -38,24 +38,31 @@ class MultiIndex:
         a, b = _nearest(x[:, : self.half], self.first), _nearest(x[:, self.half :], self.second)
         return a * len(self.second) + b
 
-    def traverse(self, q: np.ndarray, counts: np.ndarray, least: int) -> list[int]:
-        """Occupied cells by rising summed distance of q to their two centroids, until they hold least vectors. The length
-        of q changes no inner product's place, so q is lifted at the longest length."""
+    def traverse(self, q: np.ndarray, occupied: list[np.ndarray], counts: np.ndarray, least: int) -> dict[int, list[int]]:
+        """Occupied cells by rising summed distance of q to their two centroids, until they hold least vectors: second
+        centroids by first. occupied: for each first centroid the seconds that it has vectors with. A heap has the next
+        cell of each first centroid, its seconds in order of distance. The length of q changes no inner product's place,
+        so q is lifted at the longest length."""
         peak = np.abs(q).max()
         q = np.append(q / peak * (self.longest / np.sqrt(((q / peak) ** 2).sum())), self.longest)
         da, db = (self.first**2).sum(1) - 2 * self.first @ q[: self.half], (self.second**2).sum(1) - 2 * self.second @ q[self.half :]
-        ia, ib, k = np.argsort(da, kind="stable"), np.argsort(db, kind="stable"), len(self.second)
-        heap, seen, out, held = [(da[ia[0]] + db[ib[0]], 0, 0)], {(0, 0)}, [], 0
+        order = np.argsort(db, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        seconds = [order[np.sort(place[o])].tolist() for o in occupied]
+        near, width = db.tolist(), len(self.second)
+        heap = [(float(d) + near[s[0]], a, 0) for a, (d, s) in enumerate(zip(da, seconds, strict=True)) if s]
+        heapq.heapify(heap)
+        out, held = {}, 0
         while heap and held < least:
-            _, i, j = heapq.heappop(heap)
-            cell = int(ia[i]) * k + int(ib[j])
-            if counts[cell]:
-                out.append(cell)
-                held += int(counts[cell])
-            for n in ((i + 1, j), (i, j + 1)):
-                if n not in seen and n[0] < len(ia) and n[1] < len(ib):
-                    seen.add(n)
-                    heapq.heappush(heap, (da[ia[n[0]]] + db[ib[n[1]]], *n))
+            d, a, j = heap[0]
+            own = seconds[a]
+            out.setdefault(a, []).append(own[j])
+            held += int(counts[a * width + own[j]])
+            if j + 1 < len(own):
+                heapq.heapreplace(heap, (d - near[own[j]] + near[own[j + 1]], a, j + 1))
+            else:
+                heapq.heappop(heap)
         return out
 
 
@@ -99,32 +106,38 @@ def fit(vectors: DataFrame, centroids: int = 32, most_rows: int = 20_000, seed:
     return MultiIndex(half, _kmeans(x[:, :half], centroids, 15, rng), _kmeans(x[:, half:], centroids, 15, rng), longest)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int = 64, probe: float = 0.4, least: int = 2000, seed: int = 0) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int = 256, probe: float = 0.28, least: int = 2000, seed: int = 0) -> DataFrame:
     """The k nearest rows of vectors (vec_id, embedding) found for each query (the same columns), its own vec_id left out:
     query_id, rank (from 1), vec_id, score (inner product in double precision), ties to the smaller vec_id.
 
-    Every usable vector is indexed by its cell, lifted so that inner products are distances (`_lifted`). A query visits the cells by rising summed distance until they hold a
-    share `probe` of the vectors, `least` at least; all their entries are reranked by their original vectors. The cells
-    of one first centroid lie together, in blocks of about BLOCK vectors dealt by a hash of vec_id, so that equal
-    vectors don't fill a task; a query goes once to each block with a cell that it visits, and gets its k best there.
+    Every usable vector is indexed by its cell, lifted so that inner products are distances (`_lifted`). A query visits
+    the cells by rising summed distance until they hold a share `probe` of the vectors, `least` at least; all their
+    entries are reranked by their original vectors. The cells of one first centroid lie together, in blocks of about BLOCK
+    vectors dealt by a hash of vec_id, so that equal vectors don't fill a task; a query goes once to each block with a cell
+    that it visits, and gets its k best there.
 
-    Unusable vectors (null, zero, or with a null or non-finite component) take no part. Repeated rows are one candidate.
-    Vectors must have one length. Without vectors or queries: no rows."""
+    Unusable vectors (null, empty, zero, or with a null or non-finite component) take no part, nor do those of another
+    length than the usable vector with the smallest vec_id has. Repeated rows are one candidate; several vectors of one
+    vec_id are candidates each. A null vec_id takes no part. Without vectors or queries: no rows. Other columns take no
+    part."""
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
-    index = fit(vectors, centroids, seed=seed)
-    if index is None:
+    size = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).agg(F.min(F.struct("vec_id", F.size("embedding").alias("n"))).alias("m")).first()["m"]
+    if size is None:
         return spark.createDataFrame([], empty)
 
+    def ready(df: DataFrame) -> DataFrame:
+        fits = F.col("vec_id").isNotNull() & usable(F.col("embedding")) & (F.size("embedding") == size["n"])
+        return df.where(fits).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).dropDuplicates()
+
+    index = fit(ready(vectors), centroids, seed=seed)
+
     def celled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
             if p.num_rows:
                 x = np.array(p.column(1).flatten()).reshape(p.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(index.cells(x), pa.int32()), *p.columns], names=["cell", "vec_id", "embedding"])
 
-    def ready(df: DataFrame) -> DataFrame:
-        return df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).dropDuplicates()
-
     scratch = Scratch(spark, "ann")
     entries = scratch.save(ready(vectors).mapInArrow(celled, "cell int, vec_id long, embedding array<double>"), "entries")
     n_cells = len(index.first) * len(index.second)
@@ -135,17 +148,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int =
     width = len(index.second)
     blocks = np.maximum(1, -(-counts.reshape(-1, width).sum(1) // BLOCK))
 
+    occupied = [np.flatnonzero(c) for c in counts.reshape(-1, width)]
+
     def visits(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
-            if not p.num_rows:
-                continue
+        for p in few_rows(parts):
             x = np.array(p.column(1).flatten()).reshape(p.num_rows, -1)
             ids, rows, groups, seconds = p.column(0).to_pylist(), [], [], []
             for i, q in enumerate(x):
-                by: dict[int, list[int]] = {}
-                for c in index.traverse(q, counts, target):
-                    by.setdefault(c // width, []).append(c % width)
-                for a, bs in by.items():
+                for a, bs in index.traverse(q, occupied, counts, target).items():
                     rows.append(i)
                     groups.append(a)
                     seconds.append(bs)
@@ -155,7 +165,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int =
             )
 
     n = F.broadcast(literal_table(spark, [{"first": a, "n": int(b)} for a, b in enumerate(blocks)], "first:int,n:int"))
-    asked = ready(queries).mapInArrow(visits, "query_id long, query array<double>, first int, seconds array<int>").join(n, "first")
+    # every task walks some queries, however few bytes they have
+    asked = ready(queries).repartition(partitions(spark), "vec_id").mapInArrow(visits, "query_id long, query array<double>, first int, seconds array<int>").join(n, "first")
     asked = asked.select("query_id", "query", "first", "seconds", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
     held = entries.select("vec_id", "embedding", F.expr(f"cell div {width}").cast("int").alias("first"), (F.col("cell") % width).alias("second")).join(n, "first")
     held = held.select("vec_id", "embedding", "first", "second", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int").alias("block"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ def shingle_set(text: bytes | None, size: int) -> tuple[np.ndarray, int, int]:
         return np.zeros(0, np.uint64), 0, 0
     line = b" ".join(words)
     k1, k2 = (xxhash.xxh3_64_intdigest(line, s) - (1 << 63) for s in (1, 2))
-    if len(words) <= size:
+    if len(words) < size:  # one shingle, of a kind of its own
         return np.array([xxhash.xxh3_64_intdigest(line, 3)], np.uint64), k1, k2
     code = {}
     codes = np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, len(words))
@@ -71,7 +72,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 def sign(documents: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = probes(bands * rows)
-        for part in parts:
+        for part in shared.few_rows(parts):
             out = {k: [] for k in ("n_shingles", "k1", "k2", "bands")}
             for text in part.column(1).cast(pa.binary()).to_pylist():
                 s, k1, k2 = shingle_set(text, size)
@@ -81,7 +82,6 @@ def sign(documents: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 out["bands"].append(band_keys(signature(s, bands * rows, order), rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[k], pa.int64()) for k in ("n_shingles", "k1", "k2")), pa.array(out["bands"], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
 
-    shared.small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED_DDL)
 
 
@@ -95,21 +95,25 @@ def near_duplicates(
     2. In each bucket one text, drawn by hash, is the centre of a star to all others; so a bucket gives a pair for each
        text at most. A centre's pairs are cut into chunks and confirmed on full sets, and linked texts joined.
     3. A bucket that still holds several components is compared exactly: all its texts, in chunks, meet the texts
-       outside its most frequent component, in blocks, but those of one component; no pair is left out.
+       outside its most frequent component, in blocks, but those of one component and those whose numbers of shingles
+       differ too much for a link; no other pair is left out.
 
     A pair at the threshold t misses all buckets with probability (1 - t^rows)^bands: 1e-7 as set here.
 
-    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text with fewer words than a shingle is one shingle. Null and
-    empty texts have no shingles and no links. Rows of one doc_id are one document, linked by any of its texts. Rows
-    with a null doc_id link with nothing: component_id null, kept."""
-    spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "near")
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text with fewer words than a shingle is one shingle, which
+    equals no shingle of longer texts. Null and empty texts have no shingles and no links. Whole texts count, of any
+    length. Rows of one doc_id are one document, linked by any of its texts; equal rows have equal results. Rows with a
+    null doc_id link with nothing: component_id null, kept. Ties (equal texts): the smallest doc_id is kept. An empty
+    table gives no rows. Columns other than doc_id and text take no part."""
+    scratch = Scratch(documents.sparkSession, "near")
     signed = scratch.save(sign(documents, shingle_words, bands, rows), "signed")
-    alike = signed.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    alike = signed.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
     reps = scratch.save(alike, "reps")
-    placed = reps.select("rep", "k1", "k2", F.explode("bands").alias("bucket"))
+    placed = reps.select("rep", "k1", "k2", "size", F.explode("bands").alias("bucket"))
     drawn = F.min(F.struct(F.xxhash64("rep", "bucket").alias("by"), "rep", "k1", "k2"))
-    stars = placed.groupBy("bucket").agg(drawn.alias("c"), F.count("*").alias("n")).where("n > 1")
-    members = scratch.save(placed.join(stars, "bucket").select("bucket", "n", "rep", "k1", "k2", F.col("c.rep").alias("centre"), F.col("c.k1").alias("c1"), F.col("c.k2").alias("c2")), "members")
+    # written tables on both sides of a join by bucket, so that Spark can split the rows of a bucket that many texts share
+    stars = scratch.save(placed.groupBy("bucket").agg(drawn.alias("c"), F.count("*").alias("n")).where("n > 1"), "stars")
+    members = scratch.save(placed.join(stars, "bucket").select("bucket", "n", "rep", "k1", "k2", "size", F.col("c.rep").alias("centre"), F.col("c.k1").alias("c1"), F.col("c.k2").alias("c2")), "members")
     # texts that any pair needs, by document and word sequence
     wanted = members.select("rep", "k1", "k2").distinct()
     docs = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
@@ -117,7 +121,7 @@ def near_duplicates(
     size = shingle_words
 
     def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
+        for p in shared.few_rows(parts):
             texts = p.column(1).cast(pa.binary()).to_pylist()
             keys = [shingle_set(t, size)[1:] for t in texts]
             yield pa.RecordBatch.from_arrays([p.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([shared.squeeze(t) for t in texts], pa.binary())], names=["rep", "k1", "k2", "text"])
@@ -143,7 +147,8 @@ def near_duplicates(
         return pa.table({"a": pa.array([key[0].as_py()] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
     pairs = members.where("not (rep = centre and k1 = c1 and k2 = c2)").select("centre", "c1", "c2", "rep", "k1", "k2").distinct()
-    chunks = pairs.groupBy("centre", "c1", "c2").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    pairs = scratch.save(pairs, "pairs")
+    chunks = scratch.save(pairs.groupBy("centre", "c1", "c2").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "chunks")
     salted = pairs.join(chunks, ["centre", "c1", "c2"]).withColumn("chunk", F.pmod(F.xxhash64("rep", "k1"), F.col("chunks")).cast("int"))
     tested = salted.join(texts, ["rep", "k1", "k2"]).select("centre", "c1", "c2", "chunk", "rep", "text")
     of_centres = chunks.select("centre", "c1", "c2", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
@@ -155,20 +160,26 @@ def near_duplicates(
     first = components(links, scratch, "first")
 
     # buckets of three texts or more that still hold several components, once for each set of texts
-    held = members.where("n > 2").select("bucket", "rep", "k1", "k2").join(first, F.col("rep") == F.col("node"), "left")
-    held = held.select("bucket", "rep", "k1", "k2", F.coalesce("component", "rep").alias("component"))
+    held = scratch.save(members.where("n > 2").select("bucket", "rep", "k1", "k2", "size").join(first, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "k1", "k2", "size", F.coalesce("component", "rep").alias("component")), "held")
     sums = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("rep", "k1").cast("decimal(38,0)")).alias("sum"))
-    open_ = sums.where("lo < hi").groupBy("n", "sum").agg(F.min("bucket").alias("bucket"))
-    left = scratch.save(held.join(open_.select("bucket", "n"), "bucket"), "left")
-    per = left.groupBy("bucket", "component").count()
-    main = per.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), (F.sum("count") - F.max("count")).alias("outside"))
-    marked = left.join(main, "bucket").withColumn("blocks", F.ceil(F.col("outside") / CENTRES).cast("int")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    marked = marked.join(texts, ["rep", "k1", "k2"])
+    open_ = scratch.save(sums.where("lo < hi").groupBy("n", "sum").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
+    left = scratch.save(held.join(open_, "bucket"), "left")
+    main = left.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    main = scratch.save(main, "main")
+    # linked sets differ in size by the threshold at most: a set meets those of its own class of sizes and of the next ones
+    of_size = F.floor(F.log(F.col("size").cast("double")) / (math.log(least[1] / least[0]) * (1 + 1e-9))).cast("int") if least[0] < least[1] else F.col("size").cast("int")
+    marked = scratch.save(left.join(main, "bucket").withColumn("class", of_size), "marked")
+    outside = marked.where("component <> main").groupBy("bucket", "class").agg(F.ceil(F.count("*") / CENTRES).cast("int").alias("blocks"))
+    around = marked.groupBy("bucket", F.col("class").alias("of")).count()
+    around = around.select("bucket", "count", F.explode(F.array(*[F.col("of") + d for d in (-1, 0, 1)])).alias("class")).groupBy("bucket", "class").agg(F.ceil(F.sum("count") / CHUNK).cast("int").alias("chunks"))
+    plan = scratch.save(outside.join(around, ["bucket", "class"]), "plan")
+    with_text = marked.join(texts, ["rep", "k1", "k2"])
     block = F.pmod(F.xxhash64("k2", "rep"), F.col("blocks")).cast("int").alias("block")
     all_chunks = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    centres = marked.where("component <> main").select("bucket", "rep", "component", "text", block, all_chunks)
-    others = marked.select("bucket", "rep", "component", "text", F.pmod(F.xxhash64("k1", "rep"), F.col("chunks")).cast("int").alias("chunk"), all_blocks)
+    centres = with_text.where("component <> main").join(plan, ["bucket", "class"]).select("bucket", "class", "rep", "component", "text", block, all_chunks)
+    others = with_text.withColumn("class", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)]))).join(plan, ["bucket", "class"])
+    others = others.select("bucket", "class", "rep", "component", "text", F.pmod(F.xxhash64("k1", "rep"), F.col("chunks")).cast("int").alias("chunk"), all_blocks)
 
     def exact(key, some: pa.Table, rest: pa.Table) -> pa.Table:
         root: dict[int, int] = {}
@@ -193,7 +204,7 @@ def near_duplicates(
                         root[find(c)] = find(c2)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    by = ["bucket", "block", "chunk"]
+    by = ["bucket", "class", "block", "chunk"]
     centres = centres.select(*[F.col(c).alias(f"{c}_") for c in (*by, "rep", "component", "text")])
     more = scratch.save(centres.groupBy([f"{c}_" for c in by]).cogroup(others.groupBy(by)).applyInArrow(exact, "a long, b long"), "more")
     # rows of one document with different texts are linked too, through the document

@@ -17,6 +17,8 @@ from .shared import NULL_ID, Scratch
 SHARD_PATTERNS = 200_000
 #: Words to each side of a block up to which a run is followed at once; longer runs have more blocks.
 REACH = 48
+#: Requests (a window for a batch) that one task answers for an owner, about.
+MOST_REQUESTS = 2_000_000
 OUT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,last:long>>, kept string"
 
 
@@ -129,11 +131,13 @@ def remove_repeats(documents: DataFrame, window: int = 13, with_text: bool = Fal
     2. Confirm: each batch sends every different window once, as a hash with its first document; what occurs in two
        documents is recurring, its owner being the one with the smallest id. A passage that a third of all documents
        hold sends a row for each batch at most.
-    3. Owners' batches send the recurring passages, as text, to the batches that hold them.
+    3. Owners' batches send the recurring passages, as text, to the batches that hold them; a batch that many ask goes to
+       several tasks, each for a part of those that ask.
     4. Each batch compiles its passages into automata and streams its documents through them. Texts decide, not hashes;
        64-bit hashes that meet by chance could at worst hide an owner, once in about 10^10 windows at 10^10 windows.
 
-    Words are [^\\x20\\x09-\\x0D]+. Null and empty texts: no words. Rows with equal doc_id don't remove from each other;
+    Words are [^\\x20\\x09-\\x0D]+. Null and empty texts: no words. Whole texts count, of any length; a text of more than
+    a batch is a batch. Other columns take no part. Rows with equal doc_id don't remove from each other;
     each is judged alone. A null doc_id neither removes nor loses words. An empty table: no rows."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "repeats")
     batches = scratch.save(shared.text_batches(documents), "batches")
@@ -187,7 +191,7 @@ def remove_repeats(documents: DataFrame, window: int = 13, with_text: bool = Fal
         mine = np.flatnonzero(doc == least)[::-1]
         owner[group[mine]] = src[mine]
         rows = np.flatnonzero(hit)
-        out = {"owner": [], "hashes": [], "targets": []}
+        out = {"owner": [], "n": [], "hashes": [], "targets": []}
         if len(rows):
             who = owner[group[rows]]
             by = np.argsort(who, kind="stable")
@@ -196,9 +200,24 @@ def remove_repeats(documents: DataFrame, window: int = 13, with_text: bool = Fal
             names = np.array(of, np.int64)
             for a, b in zip(cut, cut[1:], strict=False):
                 out["owner"].append(of[who[a]])
+                out["n"].append(b - a)
                 out["hashes"].append(shared.pack_sorted(h[rows[a:b]]))
                 out["targets"].append(shared.pack_planes(names[src[rows[a:b]]]))
-        return pa.table({"owner": pa.array(out["owner"], pa.int64()), "hashes": pa.array(out["hashes"], pa.binary()), "targets": pa.array(out["targets"], pa.binary())})
+        return pa.table({"owner": pa.array(out["owner"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "hashes": pa.array(out["hashes"], pa.binary()), "targets": pa.array(out["targets"], pa.binary())})
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Requests to an owner in as many parts as it has, by target: what one target asks for stays together."""
+        for part in parts:
+            out = {"owner": [], "part": [], "hashes": [], "targets": []}
+            for row in part.to_pylist():
+                h, t = shared.unpack_sorted(row["hashes"]), shared.unpack_planes(row["targets"])
+                to = shared.mix(t.view(np.uint64)) % np.uint64(row["parts"])
+                for k in np.unique(to):
+                    out["owner"].append(row["owner"])
+                    out["part"].append(int(k))
+                    out["hashes"].append(shared.pack_sorted(h[to == k]))
+                    out["targets"].append(shared.pack_planes(t[to == k]))
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k in ("hashes", "targets") else pa.int64()) for k, v in out.items()})
 
     def passages(key, own: pa.Table, asked: pa.Table) -> pa.Table:
         out = {"target": [], "docs": [], "texts": []}
@@ -256,8 +275,16 @@ def remove_repeats(documents: DataFrame, window: int = 13, with_text: bool = Fal
         return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     sent = batches.mapInArrow(send, "bucket long, batch long, hashes binary, docs binary, more binary")
-    asked = scratch.save(sent.groupBy("bucket").applyInArrow(confirm, "owner long, hashes binary, targets binary"), "asked")
-    found = batches.groupBy("batch").cogroup(asked.groupBy("owner")).applyInArrow(passages, "target long, docs binary, texts binary")
+    asked = scratch.save(sent.groupBy("bucket").applyInArrow(confirm, "owner long, n long, hashes binary, targets binary"), "asked")
+    # an owner with more requests than a task should hold goes to several, each with a part of the targets
+    loads = asked.groupBy("owner").agg(F.ceil(F.sum("n") / MOST_REQUESTS).cast("int").alias("parts"))
+    loads = shared.counted_broadcast(scratch.save(loads, "loads"))  # a row for each batch at most
+    own = batches.join(loads, F.col("batch") == F.col("owner")).select(*batches.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    few = asked.join(loads, "owner")
+    whole = few.where("parts = 1").select("owner", F.lit(0).cast("long").alias("part"), "hashes", "targets")
+    split = few.where("parts > 1").select("owner", "parts", "hashes", "targets").mapInArrow(deal, "owner long, part long, hashes binary, targets binary")
+    dealt = whole.unionByName(split).withColumnRenamed("part", "of")
+    found = own.groupBy("batch", "part").cogroup(dealt.groupBy("owner", "of")).applyInArrow(passages, "target long, docs binary, texts binary")
     found = scratch.save(found, "found")
     scratch.drop("asked")
     return batches.groupBy("batch").cogroup(found.groupBy("target")).applyInArrow(judge, OUT_DDL)
