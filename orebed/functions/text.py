@@ -12,21 +12,19 @@ FLAGS = "(?iuU)"
 
 
 def spans(text: Column, pattern: str, groups: int = 2) -> Column:
-    """All matches, left to right: array of text, start, end (code points, end exclusive) and g1, g2, ..."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.char_length(s))
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
-        F.split(text, pattern, -1).alias("gaps"),
-        *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)],
-    )
-
-    def one(f: Column, i: Column) -> Column:
-        placed = F.struct(F.element_at(f["hits"], i).alias("hit"), (total(F.slice(f["gaps"], F.lit(1), i)) + total(F.slice(f["hits"], F.lit(1), i - 1))).alias("start"))
-        return let(placed, lambda p: F.struct(p["hit"].alias("text"), p["start"].alias("start"), (p["start"] + F.char_length(p["hit"])).alias("end"), *[F.element_at(f[f"g{g}"], i).alias(f"g{g}") for g in range(1, groups + 1)]))
+    """All matches, left to right: array of text, start, end (code points, end exclusive) and g1, g2, ... The text is gone
+    through for matches and for the gaps between; groups are taken from the matches alone, which match by themselves too."""
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
 
     def every(f: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(f["hits"]), F.lit(1))), lambda i: i <= F.size(f["hits"]))
-        return F.transform(places, lambda i: one(f, i))
+        sizes = F.transform(f["hits"], lambda h, i: F.char_length(F.element_at(f["gaps"], i + 1)) + F.char_length(h))
+        ends = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, (F.element_at(a, -1) + n).cast("int")))
+
+        def one(hit: Column, i: Column, e: Column) -> Column:
+            end = F.element_at(e, i + 2)
+            return F.struct(hit.alias("text"), (end - F.char_length(hit)).alias("start"), end.alias("end"), *[F.regexp_extract(hit, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)])
+
+        return let(ends, lambda e: F.transform(f["hits"], lambda hit, i: one(hit, i, e)))
 
     return let(found, every)
 

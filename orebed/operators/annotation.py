@@ -85,6 +85,42 @@ def gold_facts(resolved: DataFrame, by: list[str], annotator: str) -> DataFrame:
     return resolved.where("value is not null").select(*by, F.col("path").alias("field"), "value", F.lit("HUMAN").alias("source"), F.lit(1.0).alias("confidence"), F.lit(f"gold@{annotator}").alias("extractor_version"))
 
 
+def payload_errors(payload: Column) -> Column:
+    """What of a payload (JSON text) doesn't fit the schema of a prediction: an array of paths, empty if all fits."""
+
+    def of(v: Column) -> Column:
+        get = lambda path, kind: F.try_variant_get(v, path, kind)
+        there = lambda path: F.coalesce(get(path, "string"), F.to_json(get(path, "variant"))).isNotNull() & (F.to_json(get(path, "variant")) != "null")
+        bad = lambda path, kind: F.when(there(path) & get(path, kind).isNull(), F.lit(path[2:]))
+        object_ = "map<string,variant>"
+        found = [F.when(get("$", object_).isNull(), F.lit("payload"))]
+        for q in ("temperature", "reaction_time"):
+            value, unit = get(f"$.{q}.value", "double"), get(f"$.{q}.unit", "string")
+            found.append(F.when(there(f"$.{q}") & (value.isNull() | unit.isNull()), F.lit(q)))
+        found += [bad("$.material", object_), bad("$.pH", "double")]
+        for name, wanted in (("precursors", "name"), ("characterization", "technique"), ("properties", "name")):
+            found.append(bad(f"$.{name}", "array<variant>"))
+            items = get(f"$.{name}", "array<variant>")
+            found.append(F.when(F.exists(items, lambda x, wanted=wanted: F.try_variant_get(x, f"$.{wanted}", "string").isNull()), F.lit(f"{name}[].{wanted}")))
+        order = lambda x: F.try_variant_get(x, "$.order", "int")
+        steps = get("$.steps", "array<variant>")
+        found += [bad("$.steps", "array<variant>"), F.when(F.exists(steps, lambda x: F.coalesce(order(x) < 1, F.lit(True))), F.lit("steps[].order"))]
+        return F.array_compact(F.array(*found))
+
+    return let(F.try_parse_json(payload), lambda v: F.when(v.isNull(), F.array(F.lit("payload"))).otherwise(of(v)))
+
+
+def gold_results(pairs: DataFrame, overrides: DataFrame, by: list[str], annotator: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Adjudicated gold: results (by, extractor HUMAN, extractor_version gold@annotator, payload), their facts, and payloads
+    that don't fit the schema, with errors. Open disagreements are an error that names them."""
+    resolved = adjudicate_strictly(pairs, overrides, by)
+    payloads = unflatten(resolved, by).withColumn("errors", payload_errors(F.col("payload")))
+    fits = F.size("errors") == 0
+    results = payloads.where(fits).select(*by, F.lit("HUMAN").alias("extractor"), F.lit(f"gold@{annotator}").alias("extractor_version"), "payload")
+    facts = gold_facts(resolved, by, annotator).join(results.select(*by), by, "left_semi").withColumn("evidence_text", F.lit("human annotation (adjudicated)"))
+    return results, facts, payloads.where(~fits)
+
+
 def unflatten(resolved: DataFrame, by: list[str]) -> DataFrame:
     """Nested payloads (JSON text) of flat paths, a row for each group; gaps in lists become null. Each group's few paths
     are one task row at a time, in Arrow batches."""

@@ -71,16 +71,20 @@ def metadata(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(*DOC).agg(F.max("page").alias("pages"), F.array_sort(F.collect_set("section")).alias("sections"), F.count("*").alias("blocks"), F.sum(F.char_length("text")).alias("chars"))
 
 
-def assign_sections(blocks: DataFrame, sections: DataFrame, snippet: int = 60) -> DataFrame:
+def assign_sections(blocks: DataFrame, sections: DataFrame, snippet: int = 60, key: list[str] | None = None) -> DataFrame:
     """blocks with the heading of the first section (paper_id, section_ordinal, heading, text) whose text holds the first
-    characters of the block, white space collapsed; null without one. Sections meet blocks of their own paper only."""
+    characters of the block, white space collapsed; null without one. Sections meet blocks of their own paper only, a pair
+    of texts at a time and only beginnings of blocks; what is found joins the blocks by paper and beginning."""
+    key = key or ["paper_id"]
     squash = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-    s = sections.select("paper_id", "section_ordinal", "heading", squash("text").alias("__text")).where("__text <> ''")
-    s = s.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("section_ordinal", "heading", "__text"))).alias("__s"))
-    joined = blocks.drop("section").join(s, "paper_id", "left")
     begin = F.substring(squash(F.col("text")), 1, snippet)
-    hit = F.filter("__s", lambda x: x["__text"].contains(begin))
-    return joined.withColumn("section", F.when((begin != "") & (F.size(hit) > 0), hit[0]["heading"])).drop("__s")
+    begins = blocks.select(*key, begin.alias("__begin")).where("__begin <> ''").distinct()
+    listed = begins.groupBy(*key).agg(F.collect_list("__begin").alias("__begins"))
+    s = sections.select(*key, "section_ordinal", "heading", squash("text").alias("__text")).where("__text <> ''")
+    # a section's text stays in one row; the paper's beginnings (60 characters each) come to it
+    held = s.join(listed, key).select(*key, "section_ordinal", "heading", F.explode(F.filter("__begins", lambda b: F.contains("__text", b))).alias("__begin"))
+    first = held.groupBy(*key, "__begin").agg(F.min_by("heading", "section_ordinal").alias("section"))
+    return blocks.drop("section").withColumn("__begin", begin).join(first, [*key, "__begin"], "left").drop("__begin")
 
 
 def validate(facts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +53,33 @@ def nearest(entity: Column, quantities: Column, most: int = MAX_DISTANCE) -> Col
     return F.array_min(F.filter(measured, lambda m: m["distance"] <= most))
 
 
-def mentions(blocks: DataFrame, terms: dict[str, list[str]] = TERMS) -> DataFrame:
+ENTITIES = "array<struct<text:string,start:int,end:int,label:string,confidence:double>>"
+
+
+def model_entities(text: Column, model: Callable[[], Callable[[str], list[dict]]], labels: dict[str, str]) -> Column:
+    """Entities by a model plug-in, in Arrow batches: model() makes in each Python worker, once for all its batches, a
+    function from a text to dicts of text, start, end, label and score; labels: what of a model's labels counts, and
+    as what. Others are dropped; entities come in order of place."""
+
+    @F.pandas_udf(ENTITIES)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = model()
+
+        def one(t: str | None) -> list[dict]:
+            found = [e for e in predict(t) if e["label"] in labels] if t else []
+            return [{"text": e["text"], "start": int(e["start"]), "end": int(e["end"]), "label": labels[e["label"]], "confidence": float(e.get("score", 1.0))} for e in sorted(found, key=lambda e: (e["start"], e["end"]))]
+
+        for part in parts:
+            yield part.map(one, na_action=None)
+
+    return run(text)
+
+
+def mentions(blocks: DataFrame, terms: dict[str, list[str]] = TERMS, model: Callable[[Column], Column] | None = None) -> DataFrame:
     """A row for each entity of each block, precursors with their nearest concentration and mass; quantities are sought
-    only in blocks with an entity, within the row."""
-    found = blocks.where(F.length("text") > 0).withColumn("e", entities(F.col("text"), terms)).where(F.size("e") > 0)
+    only in blocks with an entity, within the row. model: a function from the text column to entities in place of the
+    vocabulary (entities, greedy_entities or model_entities)."""
+    found = blocks.where(F.length("text") > 0).withColumn("e", model(F.col("text")) if model else entities(F.col("text"), terms)).where(F.size("e") > 0)
     held = found.withColumn("c", matches(F.col("text"), "concentration")).withColumn("m", matches(F.col("text"), "mass"))
     rows = held.select(*BLOCK, "page", "section", "c", "m", F.explode("e").alias("e"))
     link = lambda q: F.when(F.col("e.label") == "PRECURSOR", nearest(F.col("e"), F.col(q)))

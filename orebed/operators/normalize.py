@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,38 @@ def merge_precursors(matched: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merged, said
 
 
+def normalize_scalars(predictions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """predictions (a row for each document, with strings material and solvent) with both under their canonical names and
+    material_id; a solvent gets no id. Names without a match stay as they are, nulls too."""
+    kept = [c for c in predictions.columns if c != "material_id"]
+    own = lambda of, name, *more: of.select(*[F.coalesce("canonical_name", name).alias(name) if c == name else F.col(f"`{c}`") for c in kept], *more)
+    matched = own(match_names(predictions.select(*[F.col(f"`{c}`") for c in kept]), "material", threshold), "material", F.col("canonical_id").alias("material_id"))
+    kept = matched.columns
+    return own(match_names(matched, "solvent", threshold), "solvent")
+
+
+def external_links(names: DataFrame, client: Callable[[], Callable[[str], list[str]]], system: str = "PubChem", name: str = "canonical_name") -> DataFrame:
+    """Each different name once, with system, identifier (the first that the service has; null without one) and link_error.
+    client() makes in each Python worker a function from a name to identifiers; a failed call leaves its name unlinked."""
+
+    def run(frames):
+        import pandas as pd
+
+        call = client()
+        for f in frames:
+            got = []
+            for n in f[name]:
+                try:
+                    ids = call(n)
+                    got.append((str(ids[0]) if ids else None, None))
+                except Exception as e:
+                    got.append((None, str(e)))
+            yield pd.DataFrame({name: f[name], "system": system, "identifier": [g[0] for g in got], "link_error": [g[1] for g in got]})
+
+    rows = names.select(name).where(F.col(name).isNotNull()).distinct()
+    return rows.mapInPandas(run, f"`{name}` string, system string, identifier string, link_error string")
+
+
 def cas_links(matched: DataFrame) -> DataFrame:
     """paper_id, version, canonical_id, cas_number: once for each entity of a document that has a number."""
     return matched.where("canonical_id is not null and cas_number is not null").groupBy(*DOC, "canonical_id").agg(F.min("cas_number").alias("cas_number"), F.min("item_idx").alias("first_idx"))

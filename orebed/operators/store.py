@@ -38,3 +38,9 @@ def job_states(events: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+
+
+def exact_duplicates(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """content_hash, n and first_id of texts that several rows have; counted before the shuffle, so no text moves."""
+    hashed = rows.select(F.col(key).alias("id"), sha256(F.col(text)).alias("content_hash"))
+    return hashed.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")

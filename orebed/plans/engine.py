@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import answers, documents, evaluation, fusion, ner, normalize, rules, store
+from ..operators import annotation, answers, documents, evaluation, fusion, ner, normalize, rules, store
+from ..sources import readers, sinks
 
 FACT = ["paper_id", "version", "field", "field_key", "item_idx", "value_num", "value_unit", "value_str", "source", "confidence", "fact_ord", "block_ordinal", "page", "section", "evidence_text", "char_start", "char_end", "extractor_version"]
 
@@ -23,8 +24,39 @@ def ingest(docs: DataFrame, key: str = "doc_id", text: str = "text", sections: D
     return blocks if sections is None else documents.assign_sections(blocks, sections).select(blocks.columns)
 
 
+def ingest_files(
+    files: DataFrame,
+    parser: Callable[[], Callable[[bytes], list[dict]]],
+    ocr: Callable[[], Callable[[bytes], bytes]] | None = None,
+    metadata: Callable[[], Callable[[bytes], str]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Binary files (paper_id, version, content) as documents and blocks.
+
+    Files with too little text for their pages go through OCR; then blocks are parsed, and a metadata service, if there is
+    one, gives TEI, whose section headings the blocks take. Both are best effort: without OCR, or where a plug-in fails, a
+    document goes on with what there is. documents: paper_id, version, title, authors, abstract, references, needs_ocr,
+    was_ocred, ocr_error, used_grobid, xml_error. The result of OCR should be written before both tables are used, or it
+    is made twice: checkpoint() the files where OCR is dear."""
+    key = ["paper_id", "version"]
+    native = readers.parsed_blocks(files.where("content is not null"), parser, F.col("paper_id"), F.col("version"))
+    pages = native.groupBy(*key).agg(F.count_distinct("page").alias("pages"), F.sum(F.char_length("text")).alias("chars"))
+    # a file without any text needs OCR too
+    measured = files.join(pages, key, "left").withColumns({"pages": F.coalesce("pages", F.lit(1)), "chars": F.coalesce("chars", F.lit(0))})
+    read = readers.with_ocr(measured, documents.needs_ocr(F.col("pages"), F.col("chars")), ocr)
+    blocks = readers.parsed_blocks(read, parser, F.col("paper_id"), F.col("version"))
+    flags = [*key, "needs_ocr", "was_ocred", "ocr_error"]
+    if metadata is None:
+        none = {"title": "string", "authors": "array<string>", "abstract": "string", "references": "array<string>", "xml_error": "string"}
+        heads = read.select(*flags, F.lit(False).alias("used_grobid"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+        return heads, blocks
+    tei = readers.parse_tei(readers.fetched(read, metadata))
+    heads = tei.select(*flags, F.col("xml").isNotNull().alias("used_grobid"), "title", "authors", "abstract", "references", "xml_error")
+    sections = tei.select("paper_id", "version", F.posexplode("sections").alias("section_ordinal", "s")).select("paper_id", "version", "section_ordinal", "s.heading", "s.text")
+    return heads, documents.assign_sections(blocks, sections, key=key).select(blocks.columns)
+
+
 def _long(facts: DataFrame) -> DataFrame:
-    place = F.col("block_ordinal").cast("long") * 1_000_000 + F.col("char_start")
+    place = F.col("block_ordinal").cast("long") * (1 << 31) + F.col("char_start")
     kinds = {"field_key": "string", "item_idx": "int", "value_num": "double", "value_unit": "string", "value_str": "string"}
     new = {c: F.lit(None).cast(t) for c, t in kinds.items() if c not in facts.columns}
     if "field_key" in new:
@@ -33,8 +65,8 @@ def _long(facts: DataFrame) -> DataFrame:
     return out.withColumn("fact_ord", F.col("fact_ord").cast("long") if "fact_ord" in facts.columns else place).select(FACT)
 
 
-def rule_facts(blocks: DataFrame) -> DataFrame:
-    return _long(rules.facts(blocks))
+def rule_facts(blocks: DataFrame, only: list[str] | None = None) -> DataFrame:
+    return _long(rules.facts(blocks, only=only))
 
 
 def ner_facts(blocks: DataFrame) -> DataFrame:
@@ -51,9 +83,9 @@ def llm_facts(blocks: DataFrame, model_answers: DataFrame) -> DataFrame:
     return _long(located)
 
 
-def hybrid_facts(blocks: DataFrame, model_answers: DataFrame | None = None) -> DataFrame:
-    """The facts of all sources; fusion.fuse_scalars and fuse_precursors choose among them."""
-    both = rule_facts(blocks).unionByName(ner_facts(blocks))
+def hybrid_facts(blocks: DataFrame, model_answers: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
+    """The facts of all sources (of rules, those in only); fusion.fuse_scalars and fuse_precursors choose among them."""
+    both = rule_facts(blocks, only).unionByName(ner_facts(blocks))
     return both if model_answers is None else both.unionByName(llm_facts(blocks, model_answers))
 
 
@@ -79,17 +111,64 @@ def normalized_precursors(facts: DataFrame, threshold: float = normalize.THRESHO
     return normalize.merge_precursors(normalize.match_names(fused, threshold=threshold))[0]
 
 
-def run_experiment(predictions: dict[str, tuple[DataFrame, DataFrame, DataFrame]], gold: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """The ablation table of several extractors; each and gold: (scalars, precursors, techniques). Papers on both sides
-    count."""
+Parts = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def evaluate(predicted: Parts, gold: Parts, strict: bool = False) -> DataFrame:
+    """The report of each paper that both have: paper_id, level (entity, relation, field), tp, fp, fn. predicted and gold:
+    (scalars, precursors, techniques). strict: a prediction without gold is an error."""
+    (p, pp, pt), (g, gp, gt) = predicted, gold
+    if strict:
+        lone = [r[0] for r in p.select("paper_id").join(g.select("paper_id"), "paper_id", "left_anti").distinct().limit(10).collect()]
+        if lone:
+            raise ValueError(f"no gold for paper {', '.join(map(str, lone))}")
+    both = p.select("paper_id").join(g.select("paper_id"), "paper_id").distinct()
+    on = lambda df: df.join(both, "paper_id", "left_semi")
+    status, matches = evaluation.scalar_status(p, g), evaluation.match_precursors(on(pp), on(gp))
+    counts = evaluation.entity_counts(matches, evaluation.named_scalars(p, g), on(evaluation.technique_sets(pt, gt)))
+    return counts.unionByName(evaluation.relation_counts(evaluation.relations(matches))).unionByName(evaluation.field_counts(status))
+
+
+def run_experiment(predictions: dict[str, Parts], gold: Parts) -> tuple[DataFrame, DataFrame]:
+    """The ablation table of several extractors, and the reports of each paper that it sums up."""
     reports = None
-    for name, (p, pp, pt) in predictions.items():
-        g, gp, gt = gold
-        both = p.select("paper_id").join(g.select("paper_id"), "paper_id").distinct()
-        on = lambda df, both=both: df.join(both, "paper_id", "left_semi")
-        status, matches = evaluation.scalar_status(p, g), evaluation.match_precursors(on(pp), on(gp))
-        counts = evaluation.entity_counts(matches, evaluation.named_scalars(p, g), on(evaluation.technique_sets(pt, gt)))
-        counts = counts.unionByName(evaluation.relation_counts(evaluation.relations(matches))).unionByName(evaluation.field_counts(status))
-        counts = counts.withColumn("extractor", F.lit(name))
-        reports = counts if reports is None else reports.unionByName(counts)
-    return evaluation.ablation(reports)
+    for name, parts in predictions.items():
+        one = evaluate(parts, gold).withColumn("extractor", F.lit(name))
+        reports = one if reports is None else reports.unionByName(one)
+    return evaluation.ablation(reports), reports
+
+
+def tracked_experiment(run_id: str, config: DataFrame, predictions: dict[str, Parts], gold: Parts) -> DataFrame:
+    """An experiment as a long table of its run, with the configuration (one row) as parameters. Papers count once,
+    whatever the number of extractors."""
+    ablation, reports = run_experiment(predictions, gold)
+    papers = None
+    for p, _, _ in predictions.values():
+        papers = p.select("paper_id") if papers is None else papers.union(p.select("paper_id"))
+    params = config.select(documents.as_params(config)).first()[0]
+    counted = papers.agg(F.count_distinct("paper_id").alias("n")).join(reports.agg(F.count_distinct("paper_id").alias("scored")))  # two numbers
+    n, scored = counted.first()
+    return sinks.track_run(F.lit(run_id), F.create_map(*[F.lit(x) for kv in params.items() for x in kv]), ablation, F.lit(n), F.lit(scored))
+
+
+def normalized_predictions(scalars: DataFrame, threshold: float = normalize.THRESHOLD) -> DataFrame:
+    """Material and solvent (strings) under their canonical names; extractor_version, if there, says so."""
+    out = normalize.normalize_scalars(scalars, threshold)
+    return out.withColumn("extractor_version", normalize.normalized_version(F.col("extractor_version"))) if "extractor_version" in out.columns else out
+
+
+def submit_annotations(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Annotations (paper_id, version, annotator_id, payload, created_at) with new ones in place of the same annotator's."""
+    return annotation.upsert(stored, new, ["paper_id", "version", "annotator_id"], "created_at")
+
+
+def read_jobs(log: DataFrame, paper_id: str | None = None) -> DataFrame:
+    """The state of each job, of one paper if given (log: paper_id, job_id, event, event_seq)."""
+    rows = log if paper_id is None else log.where(F.col("paper_id") == paper_id)
+    return store.job_states(rows)
+
+
+def read_results(results: DataFrame, paper_id: str, version: int | None = None) -> DataFrame:
+    """Stored results of a paper, of its latest version unless one is named."""
+    own = results.where(F.col("paper_id") == paper_id)
+    return own.where(F.col("version") == version) if version is not None else store.latest(own, ["paper_id", "extractor"], "version")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions.text import strip
 from ..operators.documents import needs_ocr
@@ -30,7 +30,7 @@ def admit(files: DataFrame, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, Da
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null").select("path", "length", "reason")
 
 
-def parsed_blocks(files: DataFrame, parser: Callable[[], Callable[[bytes], list[dict]]], key: Column | None = None) -> DataFrame:
+def parsed_blocks(files: DataFrame, parser: Callable[[], Callable[[bytes], list[dict]]], key: Column | None = None, version: Column | None = None) -> DataFrame:
     """Blocks of binary files by a plug-in: parser() makes, in each Python worker, a function from bytes to blocks in
     reading order (block_type, page, section, text, bbox). Blank blocks go; texts are stripped."""
 
@@ -40,16 +40,16 @@ def parsed_blocks(files: DataFrame, parser: Callable[[], Callable[[bytes], list[
         parse = parser()
         for f in frames:
             rows = []
-            for paper, content in zip(f["paper_id"], f["content"], strict=True):
+            for paper, number, content in zip(f["paper_id"], f["version"], f["content"], strict=True):
                 n = 0
                 for b in parse(bytes(content)):
                     text = (b.get("text") or "").strip()
                     if text:
-                        rows.append((paper, 1, n, b.get("block_type", "paragraph"), b.get("page"), b.get("section"), text, b.get("bbox")))
+                        rows.append((paper, number, n, b.get("block_type", "paragraph"), b.get("page"), b.get("section"), text, b.get("bbox")))
                         n += 1
             yield pd.DataFrame(rows, columns=["paper_id", "version", "block_ordinal", "block_type", "page", "section", "text", "bbox"])
 
-    rows = files.select((key if key is not None else F.col("path")).alias("paper_id"), "content")
+    rows = files.select((key if key is not None else F.col("path")).alias("paper_id"), (version if version is not None else F.lit(1)).alias("version"), "content")
     return rows.mapInPandas(run, BLOCKS_DDL)
 
 
@@ -123,6 +123,66 @@ def fetched(documents: DataFrame, client: Callable[[], Callable[[bytes], str]],
     return documents.mapInPandas(run, schema)
 
 
+def ocr_by_command(program: str = "ocrmypdf", timeout: float = 120) -> Callable[[], Callable[[bytes], bytes]] | None:
+    """A plug-in for with_ocr that runs a command-line program on each file; None where the program isn't installed."""
+    import shutil
+
+    if shutil.which(program) is None:
+        return None
+
+    def make() -> Callable[[bytes], bytes]:
+        import subprocess
+        import tempfile
+        from pathlib import Path
+
+        def run(content: bytes) -> bytes:
+            with tempfile.TemporaryDirectory() as d:
+                source, target = Path(d, "in.pdf"), Path(d, "out.pdf")
+                source.write_bytes(content)
+                subprocess.run([program, "--quiet", "--force-ocr", source, target], check=True, timeout=timeout, capture_output=True)
+                return target.read_bytes()
+
+        return run
+
+    return make
+
+
+def with_ocr(files: DataFrame, needed: Column, ocr: Callable[[], Callable[[bytes], bytes]] | None) -> DataFrame:
+    """files with the content that OCR makes of those that need it, was_ocred and ocr_error. Without a plug-in, or where it
+    fails, a file goes on as it is."""
+    marked = files.withColumn("needs_ocr", F.coalesce(needed, F.lit(False)))
+    if ocr is None:
+        missing = F.when(F.col("needs_ocr"), F.lit("no OCR is installed"))
+        return marked.withColumns({"was_ocred": F.lit(False), "ocr_error": missing})
+    schema = StructType([*marked.schema.fields, StructField("was_ocred", BooleanType()), StructField("ocr_error", StringType())])
+
+    def run(frames):
+        call = ocr()
+        for f in frames:
+            content, done, errors = [], [], []
+            for c, wanted in zip(f["content"], f["needs_ocr"], strict=True):
+                try:
+                    content.append(call(bytes(c)) if wanted else c)
+                    done.append(bool(wanted))
+                    errors.append(None)
+                except Exception as e:
+                    content.append(c)
+                    done.append(False)
+                    errors.append(str(e))
+            yield f.assign(content=content, was_ocred=done, ocr_error=errors)
+
+    return marked.mapInPandas(run, schema)
+
+
+def is_alive(client: Callable[[], Callable[[bytes], str]], probe: bytes = b"") -> bool:
+    """Whether a service answers at all."""
+    try:
+        client()(probe)
+    except Exception:
+        return False
+    return True
+
+
 def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """name and prompt of each .txt file of a folder."""
     rows = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
