@@ -441,3 +441,10 @@ def test_pipeline(spark, tmp_path):
     assert secret not in masked["text"] and masked["n_chars"] == len(masked["text"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_texts_of_as_many_words_as_a_shingle(spark):
+    """The one shingle of a three-word text is that of longer texts; fewer words are a shingle of their own kind."""
+    d = spark.createDataFrame([(1, "again again again"), (2, " ".join(["again"] * 4)), (3, " ".join(["Again"] * 9)), (4, "again again"), (5, "again")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(d, 3, (85, 100), 30, 5).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
