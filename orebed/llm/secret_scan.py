@@ -26,8 +26,9 @@ from .shared import Scratch, let, literal_table
 RUN = "(?<![A-Za-z0-9+/_-])(?=[a-z/_-]*+[A-Z0-9+])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_-])"
 SET_TO = "(?<=[=: \"'])(?<=(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\\s?[=:]\\s?[\"']?)[^\\s\"'<>]{6,64}+"
 CANDIDATE = f"{RUN}|{SET_TO}"
-#: Texts without this have no candidates of the second kind; looking behind at every word is left to the others.
-SETS = "(?<=(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\\s?)[=:]"
+#: Texts without this have no candidates of the second kind; looking behind at every word is left to the others. The sign is
+#: matched before looking behind it, not the other way round: that would be tried at every character.
+SETS = "[=:](?<=(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\\s?[=:])"
 #: Characters before a candidate in which its neighbouring words are sought, and how many of these count.
 BESIDE, NEIGHBOURS = 48, 3
 
