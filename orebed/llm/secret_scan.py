@@ -112,7 +112,12 @@ def features(token: Column, before: Column, after: Column, context: Context) ->
         logs = F.transform(at, lambda i: F.element_at(table(context.transitions, "array<double>"), F.element_at(codes, i) * 26 + F.element_at(codes, i + 1) + 1))
         return let(logs, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)).otherwise(F.lit(-1.5)))
 
-    pieces = F.filter(F.regexp_extract_all(token, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0)), lambda p: (F.length(p) >= 4) & F.lower(p).isin(list(context.words)))
+    by_length = table([sorted(w for w in context.words if len(w) == k) for k in range(4, 21)], "array<array<string>>")  # no name for each word
+
+    def known(p: Column) -> Column:
+        return F.length(p).between(4, 20) & F.array_contains(F.element_at(by_length, F.least(F.greatest(F.length(p) - 3, F.lit(1)), F.lit(17))), F.lower(p))
+
+    pieces = F.filter(F.regexp_extract_all(token, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0)), known)
     said = F.regexp_extract_all(F.lower(near), F.lit("[a-z]+"), F.lit(0))
     said = F.slice(said, F.greatest(F.size(said) - NEIGHBOURS, F.lit(0)) + 1, F.lit(NEIGHBOURS))
     odds = F.transform(said, lambda w: F.coalesce(F.element_at(table(dict(context.odds), "map<string,double>"), w), F.lit(0.0)))
@@ -235,12 +240,9 @@ class Forest:
     nodes: list[trees.Node]
     context: Context | None = None
 
-    def column(self, numbers: Column) -> Column:
-        of = [numbers[i] for i in range(len(FEATURES))]
-        total = F.lit(0.0)
-        for node in self.nodes:
-            total = total + trees.tree_column(node, of)
-        return total / len(self.nodes)
+    def sql(self, numbers: str) -> str:
+        """The score, as SQL over the array of feature numbers by that name."""
+        return f"({' + '.join(trees.tree_sql(node, numbers) for node in self.nodes)}) / {len(self.nodes)}D"
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return np.mean([trees.predict(n, x) for n in self.nodes], axis=0)
@@ -284,7 +286,7 @@ def scan(documents: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFr
     rows = documents.select("doc_id", "text").where(F.col("text").rlike(SETS) | F.col("text").rlike(RUN))
     # outer: Spark would compute all candidates once more to leave rows without any out beforehand
     hits = with_hits(rows, "text", "__hits", forest.context).select("doc_id", F.explode_outer("__hits").alias("h")).where("h is not null")
-    scored = hits.select("doc_id", "h.start", F.char_length("h.token").alias("length"), F.sha2(F.col("h.token").cast("binary"), 256).alias("token_sha256"), forest.column(F.col("h.f")).alias("score"))
+    scored = hits.select("doc_id", "h.start", F.char_length("h.token").alias("length"), F.sha2(F.col("h.token").cast("binary"), 256).alias("token_sha256"), F.expr(forest.sql("h.f")).alias("score"))
     return scored.withColumn("is_secret", F.col("score") >= threshold)
 
 
@@ -293,7 +295,8 @@ def redact(documents: DataFrame, forest: Forest, threshold: float = 0.5, mark: s
     is, whatever other columns are called. An empty table gives no rows."""
     columns, held = documents.columns, documents.select(F.struct("*").alias("row"), "text")
     out = with_hits(held, "text", "__hits", forest.context)
-    said = F.transform("__hits", lambda h: F.when(forest.column(h["f"]) >= threshold, F.lit(mark)).otherwise(h["token"]))
+    scores = F.expr(f"transform(__hits, h -> {forest.sql('h.f')})")
+    said = F.zip_with("__hits", scores, lambda h, s: F.when(s >= threshold, F.lit(mark)).otherwise(h["token"]))
     n = F.array_size("__gaps")
     pieces = lambda s: F.transform("__gaps", lambda g, i: F.concat(g, F.when(i < n - 1, F.element_at(s, i + 1)).otherwise(F.lit(""))))
     text = F.when(F.array_size("__hits") > 0, let(said, lambda s: F.array_join(pieces(s), ""))).otherwise(F.col("text"))

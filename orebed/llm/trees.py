@@ -106,10 +106,11 @@ def rule_column(rule: tuple[Condition, ...], features: list[Column]) -> Column:
     return out
 
 
-def tree_column(node: Node, features: list[Column]) -> Column:
+def tree_sql(node: Node, features: str) -> str:
+    """The tree as SQL over an array of numbers by that name: one text to parse, however many nodes."""
     if node.feature < 0:
-        return F.lit(node.value)
-    return F.when(features[node.feature] > node.threshold, tree_column(node.high, features)).otherwise(tree_column(node.low, features))
+        return f"{float(node.value)!r}D"
+    return f"CASE WHEN {features}[{node.feature}] > {float(node.threshold)!r}D THEN {tree_sql(node.high, features)} ELSE {tree_sql(node.low, features)} END"
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
