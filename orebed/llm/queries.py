@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, kneser_ney, licenses, near, packing, quality, repeats, secret_scan, sharding
+from . import ann, decontamination, dual_tree, exact, kneser_ney, licenses, near, packing, periodic, quality, repeats, secret_scan, sharding
+from .shared import let
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,51 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(_documents(spark, sf_dir))
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    docs = docs.withColumn("text_sha256", F.sha2(exact.normalised(F.col("text")), 256))
+    return exact.exact_groups(docs, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), every tenth by crc32 of its id with the words from a place on repeated; a null id is left alone."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.expr("h div 10")
+
+    docs = docs.withColumn("h", h)
+    split = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeat(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        period = F.floor((n - a) / (F.lit(3) + g % 8)).cast("int") + 1
+        return let(F.struct(words.alias("w"), a.alias("a"), period.alias("p")), lambda x: F.array_join(F.transform(x["w"], lambda w, i: F.when(i < x["a"], w).otherwise(F.get(x["w"], x["a"] + (i - x["a"]) % x["p"]))), " "))
+
+    changed = let(split, lambda words: F.when(F.size(words) > 0, repeat(words)))
+    return docs.withColumn("text", F.when(F.col("h") % 10 == 0, changed).otherwise(F.col("text"))).drop("h")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(_documents(spark, sf_dir).select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = found.withColumns({"best": best, "n_runs": F.size("runs").cast("long"), "lines": F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")})
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        F.col("best.start").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * -best.l div best.period").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +124,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_best_fit_packing,
         op10_kneser_ney,
+        op11_dual_tree_lloyd,
+        op12_exact_dedup,
+        op13_periodic_runs,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op12_exact_dedup": """with d as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as norm from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size, row_number() over w = 1 as kept, sha256(norm) as text_sha256 from d
+window w as (partition by norm order by length(text) desc, doc_id rows between unbounded preceding and unbounded following)""",
+}
