@@ -4,19 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import let
+from . import schema
 
 #: Top-level keys of a payload that aren't annotated.
 IDENTITY = ("paper_id", "schema_version")
-#: Levels of a payload: a list of objects of quantities is the deepest.
-DEPTH = 6
+#: Levels that are opened within a row before its parts become rows.
+STRIDE = 6
+
+
+def nesting(payload: Column) -> Column:
+    """How deep lists and objects stand in one another in a JSON text; 0 for a value alone."""
+    bare = F.regexp_replace(payload, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, m: Column) -> Column:
+        now = a["now"] + F.when(m.isin("[", "{"), 1).when(m.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(marks, zero, step, lambda a: a["most"])
 
 
 def flatten(payloads: DataFrame, by: list[str], payload: str = "payload") -> DataFrame:
     """A row for each leaf of a JSON payload (a string): by columns, path (a.b[0].c), value (JSON text), present. A JSON
-    null is a leaf with a null value; empty lists and objects vanish. Levels open one after another within the row."""
+    null is a leaf with a null value; empty lists and objects vanish; a null payload has no leaves.
+
+    Any depth: a first pass finds the deepest payload (one number comes back). Levels open one after another within the row,
+    STRIDE of them before the parts become rows of their own; nothing is shuffled."""
 
     def children(x: Column, first: bool) -> Column:
         v, path = x["v"], x["path"]
@@ -27,11 +43,13 @@ def flatten(payloads: DataFrame, by: list[str], payload: str = "payload") -> Dat
         listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda y, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), y.alias("v")))
         return let(F.schema_of_variant(v), lambda t: F.when(t.startswith("OBJECT"), named).when(t.startswith("ARRAY"), listed).otherwise(F.array(x)))
 
-    open_ = F.array(F.struct(F.lit("").alias("path"), F.parse_json(F.col(payload)).alias("v")))
-    for level in range(DEPTH):
-        first = level == 0
-        open_ = F.flatten(F.transform(open_, (lambda x: children(x, True)) if first else (lambda x: children(x, False))))
-    rows = payloads.select(*by, F.explode(open_).alias("leaf"))
+    depth = payloads.agg(F.max(nesting(F.col(payload)))).first()[0] or 0
+    rows = payloads.where(F.col(payload).isNotNull()).select(*by, F.struct(F.lit("").alias("path"), F.parse_json(F.col(payload)).alias("v")).alias("leaf"))
+    for start in range(0, depth, STRIDE):
+        open_ = F.array("leaf")
+        for level in range(start, min(depth, start + STRIDE)):
+            open_ = F.flatten(F.transform(open_, (lambda x: children(x, True)) if level == 0 else (lambda x: children(x, False))))
+        rows = rows.select(*by, F.explode(open_).alias("leaf"))
     text = F.when(~F.schema_of_variant(F.col("leaf.v")).isin("VOID"), F.to_json(F.col("leaf.v")))
     return rows.select(*by, "leaf.path", text.alias("value"), F.lit(True).alias("present"))
 
@@ -85,36 +103,11 @@ def gold_facts(resolved: DataFrame, by: list[str], annotator: str) -> DataFrame:
     return resolved.where("value is not null").select(*by, F.col("path").alias("field"), "value", F.lit("HUMAN").alias("source"), F.lit(1.0).alias("confidence"), F.lit(f"gold@{annotator}").alias("extractor_version"))
 
 
-def payload_errors(payload: Column) -> Column:
-    """What of a payload (JSON text) doesn't fit the schema of a prediction: an array of paths, empty if all fits."""
-
-    def of(v: Column) -> Column:
-        get = lambda path, kind: F.try_variant_get(v, path, kind)
-        there = lambda path: F.coalesce(get(path, "string"), F.to_json(get(path, "variant"))).isNotNull() & (F.to_json(get(path, "variant")) != "null")
-        bad = lambda path, kind: F.when(there(path) & get(path, kind).isNull(), F.lit(path[2:]))
-        object_ = "map<string,variant>"
-        found = [F.when(get("$", object_).isNull(), F.lit("payload"))]
-        for q in ("temperature", "reaction_time"):
-            value, unit = get(f"$.{q}.value", "double"), get(f"$.{q}.unit", "string")
-            found.append(F.when(there(f"$.{q}") & (value.isNull() | unit.isNull()), F.lit(q)))
-        found += [bad("$.material", object_), bad("$.pH", "double")]
-        for name, wanted in (("precursors", "name"), ("characterization", "technique"), ("properties", "name")):
-            found.append(bad(f"$.{name}", "array<variant>"))
-            items = get(f"$.{name}", "array<variant>")
-            found.append(F.when(F.exists(items, lambda x, wanted=wanted: F.try_variant_get(x, f"$.{wanted}", "string").isNull()), F.lit(f"{name}[].{wanted}")))
-        order = lambda x: F.try_variant_get(x, "$.order", "int")
-        steps = get("$.steps", "array<variant>")
-        found += [bad("$.steps", "array<variant>"), F.when(F.exists(steps, lambda x: F.coalesce(order(x) < 1, F.lit(True))), F.lit("steps[].order"))]
-        return F.array_compact(F.array(*found))
-
-    return let(F.try_parse_json(payload), lambda v: F.when(v.isNull(), F.array(F.lit("payload"))).otherwise(of(v)))
-
-
-def gold_results(pairs: DataFrame, overrides: DataFrame, by: list[str], annotator: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def gold_results(pairs: DataFrame, overrides: DataFrame, by: list[str], annotator: str, kind: schema.Kind = schema.SYNTHESIS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Adjudicated gold: results (by, extractor HUMAN, extractor_version gold@annotator, payload), their facts, and payloads
-    that don't fit the schema, with errors. Open disagreements are an error that names them."""
+    that don't fit the schema, with errors (path, reason). Open disagreements are an error that names them."""
     resolved = adjudicate_strictly(pairs, overrides, by)
-    payloads = unflatten(resolved, by).withColumn("errors", payload_errors(F.col("payload")))
+    payloads = unflatten(resolved, by).withColumn("errors", schema.faults(F.col("payload"), kind))
     fits = F.size("errors") == 0
     results = payloads.where(fits).select(*by, F.lit("HUMAN").alias("extractor"), F.lit(f"gold@{annotator}").alias("extractor_version"), "payload")
     facts = gold_facts(resolved, by, annotator).join(results.select(*by), by, "left_semi").withColumn("evidence_text", F.lit("human annotation (adjudicated)"))
@@ -122,36 +115,29 @@ def gold_results(pairs: DataFrame, overrides: DataFrame, by: list[str], annotato
 
 
 def unflatten(resolved: DataFrame, by: list[str]) -> DataFrame:
-    """Nested payloads (JSON text) of flat paths, a row for each group; gaps in lists become null. Each group's few paths
-    are one task row at a time, in Arrow batches."""
-    grouped = resolved.groupBy(*by).agg(F.collect_list(F.struct("path", "value")).alias("leaves"))
-    schema = StructType([*grouped.drop("leaves").schema.fields, StructField("payload", StringType())])
-
-    def run(parts):
-        import json
-        import re
-
-        for frame in parts:
-            out = []
-            for leaves in frame["leaves"]:
-                root: dict = {}
-                for leaf in leaves:
-                    steps = [int(i) if i else k for k, i in re.findall(r"([^.\[\]]+)|\[(\d+)\]", leaf["path"])]
-                    at = root
-                    for here, then in zip(steps, [*steps[1:], None], strict=True):
-                        new = (json.loads(leaf["value"]) if leaf["value"] is not None else None) if then is None else [] if isinstance(then, int) else {}
-                        if isinstance(here, int):
-                            at.extend([None] * (here + 1 - len(at)))
-                            at[here] = new if then is None or at[here] is None else at[here]
-                        elif then is None:
-                            at[here] = new
-                        else:
-                            at.setdefault(here, new)
-                        at = at[here]
-                out.append(json.dumps(root, ensure_ascii=False, sort_keys=True))
-            yield frame.drop(columns="leaves").assign(payload=out)
-
-    return grouped.mapInPandas(run, schema)
+    """Nested payloads (JSON text, keys in order) of flat paths (by, path, value), a row for each group; gaps in lists become
+    null, and so does a path without a value.
+
+    The deepest level folds into the one above it, level by level. Rows are dealt by group once; every level's sums keep
+    that, so there is one shuffle whatever the depth. A list as long as its largest index is made in its row."""
+    names = [F.col(c) for c in by]
+    rows = resolved.select(*by, F.regexp_extract_all("path", F.lit(r"[^.\[\]]+|\[\d+\]"), F.lit(0)).alias("steps"), F.coalesce("value", F.lit("null")).alias("text"))
+    depth = rows.agg(F.max(F.size("steps"))).first()[0] or 0
+    rows = rows.repartition(*names)
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    index = lambda k: F.regexp_extract(k["step"], r"\d+", 0).cast("int")
+    for level in range(depth, 0, -1):
+        mine = F.size("steps") == level
+        key = F.when(mine, F.slice("steps", 1, level - 1)).otherwise(F.col("steps"))
+        kid = F.when(mine, F.struct(F.element_at("steps", -1).alias("step"), "text"))
+        made = rows.groupBy(*by, key.alias("key")).agg(F.array_sort(F.collect_list(kid)).alias("kids"), F.max(F.when(~mine, F.col("text"))).alias("own"))
+        object_ = F.concat(F.lit("{"), F.array_join(F.transform("kids", lambda k: F.concat(quoted(k["step"]), F.lit(": "), k["text"])), ", "), F.lit("}"))
+        placed = F.map_from_entries(F.transform("kids", lambda k: F.struct(index(k), k["text"])))
+        longest = F.array_max(F.transform("kids", index))
+        list_ = let(placed, lambda m: F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), longest), lambda i: F.coalesce(F.try_element_at(m, i), F.lit("null"))), ", "), F.lit("]")))  # noqa: B023
+        listed = F.forall("kids", lambda k: k["step"].startswith("["))
+        rows = made.select(*by, F.col("key").alias("steps"), F.when(F.size("kids") == 0, F.col("own")).when(listed, list_).otherwise(object_).alias("text"))
+    return rows.select(*by, F.col("text").alias("payload"))
 
 
 def split(papers: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import CANONICAL, ENTITIES, UNITS, entities
 from ..functions.text import sha256
-from ..operators import annotation, answers, documents, evaluation, fusion, ner, normalize, retrieval, rules, store
+from ..operators import annotation, answers, documents, evaluation, fusion, ner, normalize, retrieval, rules, schema, store
 from ..sources import readers, sinks
 from . import views
 from .views import duck, view
@@ -456,6 +456,71 @@ def adjudicate_unresolved(spark, sf_dir):
     return annotation.adjudicate(annotation.compare(*annotators(spark, sf_dir), ["paper_id"]), overrides, ["paper_id"])[1].select("paper_id", "path")
 
 
+FAULTY = [
+    (5, "temperature.value", "not a number"),
+    (6, "precursors[1].amount.unit", "missing"),
+    (7, "steps[0].order", "below 1"),
+    (8, "precursors[0].concentration", "not an object"),
+    (9, "material", "not an object"),
+    (10, "pH", "not a number"),
+    (11, "properties[0].name", "missing"),
+    (12, "properties[0].value.value", "not a number"),
+    (13, "characterization[1]", "null"),
+    (14, "material.size.unit", "not a text"),
+    (15, "solvent", "not a text"),
+    (16, "precursors", "null"),
+]
+
+
+def faulty_payloads(spark, sf_dir) -> DataFrame:
+    """A payload for each document with a recipe; every k-th has one of FAULTY."""
+    bad = lambda k, yes, no: f"case when doc_id % {k} = 0 then {yes} else {no} end"
+    quoted = lambda c: f"concat('\"', {c}, '\"')"
+    parts = [
+        "'{\"paper_id\":\"', doc_id, '\",\"temperature\":{\"unit\":\"C\",\"value\":'", bad(5, "'\"warm\"'", quoted("cast(temp as int)")), "'},\"reaction_time\":null,\"note\":[1],\"pH\":'", bad(10, "'\"acid\"'", "'7'"),
+        "',\"solvent\":'", bad(15, "'5'", quoted("solvent")), "',\"steps\":[{\"description\":\"mix\",\"order\":'", bad(7, "0", "1"), "'}],\"characterization\":[{\"technique\":\"'", "technique", "'\"},'", bad(13, "'null'", "'{\"technique\":\"TEM\"}'"),
+        "'],\"properties\":[{'", bad(11, "'\"nom\"'", "'\"name\"'"), "':\"gap\",\"value\":{\"unit\":\"eV\",\"value\":'", bad(12, "'[]'", "'1.5'"), "'}}],\"material\":'",
+        bad(9, "'[1]'", f"concat('{{\"name\":\"', material, '\",\"size\":{{\"value\":5,\"unit\":', {bad(14, repr('3'), quoted(repr('nm')))}, '}}}}')"),
+        "',\"precursors\":'", bad(16, "'null'", f"concat('[{{\"name\":\"', precursor, '\",\"concentration\":', {bad(8, repr('4'), repr('null'))}, '}},{{\"name\":\"', second, '\",\"amount\":{{\"value\":2', {bad(6, repr(''), repr(',"unit":"mg"'))}, '}}}}]')"),
+        "'}'",
+    ]
+    return view(spark, sf_dir, "said").selectExpr("doc_id as paper_id", f"concat({', '.join(parts)}) as payload")
+
+
+@query(duck(" union all ".join(f"select doc_id as paper_id, '{path}' as path, '{reason}' as reason from said where doc_id % {k} = 0" + (" and doc_id % 9 <> 0" if path.startswith("material.") else " and doc_id % 16 <> 0" if path.startswith("precursors[") else "") for k, path, reason in FAULTY)))
+def payload_violations(spark, sf_dir):
+    """What of each payload doesn't fit the schema of a synthesis, by path."""
+    return schema.violations(faulty_payloads(spark, sf_dir), ["paper_id"])
+
+
+GOLD_PATHS = [("temperature.unit", "'\"C\"'"), ("temperature.value", "'20'"), ("solvent", "'\"' || coalesce(solvent, 'none') || '\"'"), ("precursors[0].name", "'\"' || precursor || '\"'"), ("precursors[1].name", "'\"' || second || '\"'")]
+
+
+@query(duck(" union all ".join(f"select paper_id, '{path}' as field, {value} as value, 'HUMAN' as source, 'gold@third' as extractor_version from gold where paper_id % 27 <> 0" for path, value in GOLD_PATHS)))
+def gold_facts(spark, sf_dir):
+    """Facts of adjudicated gold: a third annotator settles what two leave open; every 27th then lacks a unit and fails."""
+    g = view(spark, sf_dir, "gold")
+    settled = g.where("paper_id % 8 = 0").selectExpr("paper_id", "'temperature.value' as path", "'20' as value")
+    settled = settled.unionByName(g.where("paper_id % 9 = 0 or paper_id % 10 = 0").selectExpr("paper_id", "'solvent' as path", "concat('\"', coalesce(solvent, 'none'), '\"') as value"))
+    settled = settled.unionByName(g.where("paper_id % 27 = 0").selectExpr("paper_id", "'temperature.unit' as path", "cast(null as string) as value"))
+    facts = annotation.gold_results(annotation.compare(*annotators(spark, sf_dir), ["paper_id"]), settled, ["paper_id"], "third")[1]
+    return facts.select("paper_id", "field", "value", "source", "extractor_version")
+
+
+DEEP = [("a.b[0].c[0][1].d.e[2].f", "to_json(doc_id)"), ("a.b[0].c[0][0]", "null"), ("a.b[1]", "to_json(lang)"), ("a.b[0].c[0][1].d.e[0]", "'true'"), ("a.b[0].c[0][1].d.e[1].g[0].h[0].i", "to_json(source)")]
+
+
+@query(" union all ".join(f"select doc_id, '{path}' as path, cast({value} as varchar) as value, true as same from documents" for path, value in DEEP))
+def payload_round_trip(spark, sf_dir):
+    """Leaves of payloads of eleven levels, and whether the payload made of them is the one they came from."""
+    js = "concat('{\"a\":{\"b\":[{\"c\":[[null,{\"d\":{\"e\":[true,{\"g\":[{\"h\":[{\"i\":\"', source, '\"}]}]},{\"f\":', doc_id, '}]}}]]},\"', lang, '\"]}}')"
+    own = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{js} as payload")
+    leaves = annotation.flatten(own, ["doc_id"])
+    again = annotation.unflatten(leaves, ["doc_id"]).select("doc_id", F.to_json(F.parse_json("payload")).alias("again"))
+    same = own.join(again, "doc_id").select("doc_id", (F.to_json(F.parse_json("payload")) == F.col("again")).alias("same"))
+    return leaves.join(same, "doc_id").select("doc_id", "path", "value", "same")
+
+
 @query("with r as (select doc_id as paper_id, row_number() over (order by sha256('42' || doc_id), doc_id) as n, count(*) over () as total from documents) select paper_id, n <= greatest(1, round_even(total * 0.2, 0)) as is_test from r")
 def paper_split(spark, sf_dir):
     return annotation.split(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id")))
