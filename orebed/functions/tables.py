@@ -103,6 +103,10 @@ ANSWER_UNIT_WORDS = {
     "nanometer": "nm", "nanometers": "nm", "nanometre": "nm",
 }
 
+# Degree signs, and what a number consists of, inside brackets of a pattern.
+DEGREES = "°º"
+NUMBER_SIGNS = r"\d."
+
 # How sure a model's fact is, with its text found in the document or not.
 LOCATED, UNLOCATED = 0.8, 0.6
 UNLOCATED_TEXT = "Reported by the LLM; no verbatim match was found in the document text."

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,16 +76,16 @@ def metadata(blocks: DataFrame) -> DataFrame:
 
 def assign_sections(blocks: DataFrame, sections: DataFrame, snippet: int = 60, key: list[str] | None = None) -> DataFrame:
     """blocks with the heading of the first section (paper_id, section_ordinal, heading, text) whose text holds the first
-    characters of the block, white space collapsed; null without one. Sections meet blocks of their own paper only, a pair
-    of texts at a time and only beginnings of blocks; what is found joins the blocks by paper and beginning."""
+    characters of the block, white space collapsed; null without one. Beginnings (60 characters, each once) meet the
+    sections of their paper in a join that emits only what a section holds, and that Spark may split for a paper of very
+    many blocks; what is found joins the blocks by paper and beginning. Texts of sections move once."""
     key = key or ["paper_id"]
     squash = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     begin = F.substring(squash(F.col("text")), 1, snippet)
-    begins = blocks.select(*key, begin.alias("__begin")).where("__begin <> ''").distinct()
-    listed = begins.groupBy(*key).agg(F.collect_list("__begin").alias("__begins"))
+    begins = blocks.select(*[F.col(c).alias(f"__{c}") for c in key], begin.alias("__begin")).where("__begin <> ''").distinct()
     s = sections.select(*key, "section_ordinal", "heading", squash("text").alias("__text")).where("__text <> ''")
-    # a section's text stays in one row; the paper's beginnings (60 characters each) come to it
-    held = s.join(listed, key).select(*key, "section_ordinal", "heading", F.explode(F.filter("__begins", lambda b: F.contains("__text", b))).alias("__begin"))
+    same = [F.col(c) == F.col(f"__{c}") for c in key]
+    held = s.join(begins, reduce(and_, same) & F.contains("__text", "__begin")).select(*key, "section_ordinal", "heading", "__begin")
     first = held.groupBy(*key, "__begin").agg(F.min_by("heading", "section_ordinal").alias("section"))
     return blocks.drop("section").withColumn("__begin", begin).join(first, [*key, "__begin"], "left").drop("__begin")
 

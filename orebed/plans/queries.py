@@ -276,6 +276,21 @@ def answers_located(spark, sf_dir):
     return located.where(F.col("field").isin("solvent", "temperature", "synthesis_method")).select("paper_id", "field", F.col("block_ordinal").cast("long").alias("block_ordinal"))
 
 
+@query(
+    duck(
+        """select h.doc_id as paper_id, h.field, h.block_ordinal, b.page, b.section, substr(b.text, instr(case when field = 'temperature' then b.text else lower(b.text) end, h.needle), length(h.needle)) as evidence_text,
+  cast(instr(case when field = 'temperature' then b.text else lower(b.text) end, h.needle) - 1 as int) as char_start, 0.8::double as confidence
+from hits h join blocks b on b.paper_id = h.doc_id and b.block_ordinal = h.block_ordinal""",
+        ("sought", "select doc_id, 'solvent' as field, lower(solvent) as needle, null as pattern from said where doc_id % 50 <> 0 union all select doc_id, 'temperature', cast(cast(temp as int) as varchar) || ' C', '(^|[^0-9.])' || cast(cast(temp as int) as varchar) || '(\\.0+)?\\s*[°º]?\\s*(C|degC|°C|ºC|℃)([^A-Za-z]|$)' from said where doc_id % 50 <> 0"),
+        ("hits", "select f.doc_id, f.field, f.needle, min(b.block_ordinal) as block_ordinal from sought f join blocks b on b.paper_id = f.doc_id and case when pattern is null then contains(lower(b.text), needle) else regexp_matches(b.text, pattern) end group by 1, 2, 3"),
+    )
+)
+def answers_evidence(spark, sf_dir):
+    """Spans of what model answers say of solvents and temperatures, with the text that is evidence."""
+    located = answers.locate(answers.facts(predicted(spark, sf_dir)), blocks(spark, sf_dir)).where(F.col("field").isin("solvent", "temperature") & F.col("block_ordinal").isNotNull())
+    return located.select("paper_id", "field", "block_ordinal", "page", "section", "evidence_text", "char_start", "confidence")
+
+
 FACT = ["paper_id", "version", "field", "field_key", "item_idx", "value_num", "value_unit", "value_str", "source", "confidence", "fact_ord"]
 
 
