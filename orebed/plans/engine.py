@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,35 +25,44 @@ def ingest(docs: DataFrame, key: str = "doc_id", text: str = "text", sections: D
     return blocks if sections is None else documents.assign_sections(blocks, sections).select(blocks.columns)
 
 
+class Ingested(NamedTuple):
+    """documents: paper_id, version, title, authors, abstract, references, needs_ocr, was_ocred, used_grobid. blocks: with the
+    section headings of their document. failures: paper_id, version, stage, reason, lost (no document came of it)."""
+
+    documents: DataFrame
+    blocks: DataFrame
+    failures: DataFrame
+
+
 def ingest_files(
     files: DataFrame,
     parser: Callable[[], Callable[[bytes], list[dict]]],
     ocr: Callable[[], Callable[[bytes], bytes]] | None = None,
     metadata: Callable[[], Callable[[bytes], str]] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Binary files (paper_id, version, content) as documents and blocks.
-
-    Files with too little text for their pages go through OCR; then blocks are parsed, and a metadata service, if there is
-    one, gives TEI, whose section headings the blocks take. Both are best effort: without OCR, or where a plug-in fails, a
-    document goes on with what there is. documents: paper_id, version, title, authors, abstract, references, needs_ocr,
-    was_ocred, ocr_error, used_grobid, xml_error. The result of OCR should be written before both tables are used, or it
-    is made twice: checkpoint() the files where OCR is dear."""
+    seconds: float | None = None,
+    store: str | None = None,
+) -> Ingested:
+    """Binary files (paper_id, version, content) as documents, blocks and failures, all of one pass through the plug-ins
+    (readers.processed_files): one bad file costs its own document, at most.
+
+    store: a folder that all executors share; the pass is written there once, and the three tables read it. Without it each
+    action on a table goes through the files again."""
+    done = readers.processed_files(files, parser, ocr, metadata, seconds=seconds)
+    if store is not None:
+        done.write.mode("overwrite").parquet(store)
+        done = files.sparkSession.read.schema(done.schema).parquet(store)
     key = ["paper_id", "version"]
-    native = readers.parsed_blocks(files.where("content is not null"), parser, F.col("paper_id"), F.col("version"))
-    pages = native.groupBy(*key).agg(F.count_distinct("page").alias("pages"), F.sum(F.char_length("text")).alias("chars"))
-    # a file without any text needs OCR too
-    measured = files.join(pages, key, "left").withColumns({"pages": F.coalesce("pages", F.lit(1)), "chars": F.coalesce("chars", F.lit(0))})
-    read = readers.with_ocr(measured, documents.needs_ocr(F.col("pages"), F.col("chars")), ocr)
-    blocks = readers.parsed_blocks(read, parser, F.col("paper_id"), F.col("version"))
-    flags = [*key, "needs_ocr", "was_ocred", "ocr_error"]
+    kept = readers.parse_tei(done.where("blocks is not null"))
+    flags = ["needs_ocr", "was_ocred", (F.col("xml").isNotNull() & F.col("tei_error").isNull()).alias("used_grobid")]
+    heads = kept.select(*key, "title", "authors", "abstract", "references", *flags)
+    blocks = done.select(*key, F.inline("blocks"))
+    blocks = blocks.select(*key, "block_ordinal", "block_type", "page", "section", "text", "bbox")
+    broken = kept.where("tei_error is not null").select(*key, F.lit("metadata").alias("stage"), F.col("tei_error").alias("reason"), F.lit(False).alias("lost"))
+    failures = done.select(*key, F.inline("failures")).unionByName(broken)
     if metadata is None:
-        none = {"title": "string", "authors": "array<string>", "abstract": "string", "references": "array<string>", "xml_error": "string"}
-        heads = read.select(*flags, F.lit(False).alias("used_grobid"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-        return heads, blocks
-    tei = readers.parse_tei(readers.fetched(read, metadata))
-    heads = tei.select(*flags, F.col("xml").isNotNull().alias("used_grobid"), "title", "authors", "abstract", "references", "xml_error")
-    sections = tei.select("paper_id", "version", F.posexplode("sections").alias("section_ordinal", "s")).select("paper_id", "version", "section_ordinal", "s.heading", "s.text")
-    return heads, documents.assign_sections(blocks, sections, key=key).select(blocks.columns)
+        return Ingested(heads, blocks, failures)
+    sections = kept.select(*key, F.posexplode("sections").alias("section_ordinal", "s")).select(*key, "section_ordinal", "s.heading", "s.text")
+    return Ingested(heads, documents.assign_sections(blocks, sections, key=key).select(blocks.columns), failures)
 
 
 def _long(facts: DataFrame) -> DataFrame:

@@ -116,7 +116,24 @@ def html_to_blocks(spark, sf_dir):
 def tei_documents(spark, sf_dir):
     """TEI documents made of pages' addresses and numbers, read back."""
     xml = "concat('<TEI xmlns=\"http://www.tei-c.org/ns/1.0\"><teiHeader><fileDesc><titleStmt><title>Page ', page_id, '</title></titleStmt><sourceDesc><author><persName><forename>A</forename><surname>B', page_id % 7, '</surname></persName></author></sourceDesc></fileDesc></teiHeader><text><body><div><head>Part</head><p>Text  ', page_id, '</p></div></body></text></TEI>')"
-    return readers.parse_tei(table(spark, sf_dir, "pages").selectExpr("page_id", f"{xml} as xml")).drop("xml")
+    return readers.parse_tei(table(spark, sf_dir, "pages").selectExpr("page_id", f"{xml} as xml")).drop("xml", "tei_error")
+
+
+@query(
+    """with d as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[^\\x20-\\x7E\\n]', '?', 'g'), chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') as lines from documents where text is not null)
+select doc_id, 0 as section_ordinal, 'All µ ' || doc_id as heading, sha256(array_to_string(list_append(lines, 'a < b & c'), chr(10))) as text_hash from d union all select doc_id, 1, null, sha256('the & end') from d"""
+)
+def tei_sections(spark, sf_dir):
+    """Sections of TEI documents made of whole texts, a paragraph for each line, with what regular expressions get wrong: an
+    inner division, comments, CDATA and character references."""
+    plain = F.regexp_replace("text", r"[^\x20-\x7E\n]", "?")
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;")):
+        plain = F.replace(plain, F.lit(sign), F.lit(entity))
+    head = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>All &#181; '), F.col("doc_id"), F.lit("</head><!-- <p>hidden</p> --><div><head>inner</head><p>not of the top</p></div><p>"))
+    tail = F.lit("</p><p><![CDATA[a < b & c]]></p></div><div><p><hi>the</hi> &amp;\n<ref>end</ref></p><p> </p></div><div/></body></text></TEI>")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(head, F.replace(plain, F.lit("\n"), F.lit("</p><p>")), tail).alias("xml"))
+    rows = readers.parse_tei(docs).select("doc_id", F.posexplode("sections").alias("section_ordinal", "s"))
+    return rows.select("doc_id", "section_ordinal", "s.heading", sha256(F.col("s.text")).alias("text_hash"))
 
 
 @query("select doc_id, to_json({doc_id: doc_id, quality: quality, toxic: toxic}) as value from labels")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions.text import strip
 from ..operators.documents import needs_ocr
+from .tei import parse_tei
 
 MOST_BYTES = 50 * 1024 * 1024
-BLOCKS_DDL = "paper_id string, version int, block_ordinal int, block_type string, page int, section string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>"
 CANONICAL_DDL = (
     "paper_id string, version int, title string, authors array<struct<full_name:string>>, abstract string, references array<string>, "
     "blocks array<struct<block_type:string,page_number:int,section:string,text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>, was_ocred boolean, used_grobid boolean"
@@ -30,27 +31,115 @@ def admit(files: DataFrame, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, Da
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null").select("path", "length", "reason")
 
 
-def parsed_blocks(files: DataFrame, parser: Callable[[], Callable[[bytes], list[dict]]], key: Column | None = None, version: Column | None = None) -> DataFrame:
-    """Blocks of binary files by a plug-in: parser() makes, in each Python worker, a function from bytes to blocks in
-    reading order (block_type, page, section, text, bbox). Blank blocks go; texts are stripped."""
+FILE_DDL = (
+    "paper_id string, version int, blocks array<struct<block_ordinal:int,block_type:string,page:int,section:string,text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>, "
+    "pages int, chars long, needs_ocr boolean, was_ocred boolean, xml string, failures array<struct<stage:string,reason:string,lost:boolean>>"
+)
+
+
+@contextmanager
+def within(seconds: float | None) -> Iterator[None]:
+    """A TimeoutError in what runs longer, where the process has timers (its main thread, not on Windows)."""
+    import signal
+    import threading
+
+    if seconds is None or not hasattr(signal, "setitimer") or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise TimeoutError(f"longer than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def processed_files(
+    files: DataFrame,
+    parser: Callable[[], Callable[[bytes], list[dict]]],
+    ocr: Callable[[], Callable[[bytes], bytes]] | None = None,
+    metadata: Callable[[], Callable[[bytes], str]] | None = None,
+    least_chars: int = 100,
+    seconds: float | None = None,
+) -> DataFrame:
+    """One row (FILE_DDL) for each file of files (paper_id, version, content), in one pass through the plug-ins.
+
+    A file is parsed once; if its pages have too little text for their number, OCR makes another of it and that one is
+    parsed; then the metadata service gives its XML. Blank blocks go; texts are stripped. A plug-in is made once in each
+    Python worker.
+
+    What fails, or takes longer than `seconds`, is a row's failures (stage, reason), never the job's: a file without
+    content or that can't be parsed is lost; without OCR or metadata a document goes on with what there is, and so it does
+    when the parser fails on what OCR made. Repeated rows are processed each."""
 
     def run(frames):
         import pandas as pd
 
-        parse = parser()
+        # a plug-in that can't be made is a failure of each file that needs it
+        made: dict[str, Callable] = {}
+
+        def use(name: str, factory: Callable[[], Callable], content: bytes):
+            with within(seconds):
+                if name not in made:
+                    made[name] = factory()
+                return made[name](content)
+
+        def blocks_of(content: bytes) -> list[dict]:
+            out = []
+            for b in use("parse", parser, content):
+                text = (b.get("text") or "").strip()
+                if text:
+                    out.append({"block_ordinal": len(out), "block_type": b.get("block_type", "paragraph"), "page": b.get("page"), "section": b.get("section"), "text": text, "bbox": b.get("bbox")})
+            return out
+
+        def measured(blocks: list[dict]) -> tuple[int, int]:
+            return max(1, len({b["page"] for b in blocks if b["page"] is not None})), sum(len(b["text"]) for b in blocks)
+
+        def one(paper, version, content) -> tuple:
+            failures: list[dict] = []
+
+            def tried(stage: str, lost: bool, call: Callable):
+                try:
+                    return call()
+                except Exception as e:
+                    failures.append({"stage": stage, "reason": str(e) or type(e).__name__, "lost": lost})
+
+            if content is None or not len(content):
+                return paper, version, None, None, None, None, None, None, [{"stage": "read", "reason": "no content", "lost": True}]
+            content = bytes(content)
+            blocks = tried("parse", True, lambda: blocks_of(content))
+            if blocks is None:
+                return paper, version, None, None, None, None, None, None, failures
+            pages, chars = measured(blocks)
+            needed, was_ocred = chars / pages < least_chars, False
+            if needed and ocr is None:
+                failures.append({"stage": "ocr", "reason": "no OCR is installed", "lost": False})
+            elif needed and (scanned := tried("ocr", False, lambda: bytes(use("ocr", ocr, content)))) is not None:
+                again = tried("parse after ocr", False, lambda: blocks_of(scanned))
+                if again is not None:
+                    content, blocks, was_ocred = scanned, again, True
+                    pages, chars = measured(blocks)
+            xml = tried("metadata", False, lambda: use("metadata", metadata, content)) if metadata is not None else None
+            return paper, version, blocks, pages, chars, needed, was_ocred, xml, failures
+
+        names = [f.split(" ")[0] for f in ("paper_id", "version", "blocks", "pages", "chars", "needs_ocr", "was_ocred", "xml", "failures")]
         for f in frames:
-            rows = []
-            for paper, number, content in zip(f["paper_id"], f["version"], f["content"], strict=True):
-                n = 0
-                for b in parse(bytes(content)):
-                    text = (b.get("text") or "").strip()
-                    if text:
-                        rows.append((paper, number, n, b.get("block_type", "paragraph"), b.get("page"), b.get("section"), text, b.get("bbox")))
-                        n += 1
-            yield pd.DataFrame(rows, columns=["paper_id", "version", "block_ordinal", "block_type", "page", "section", "text", "bbox"])
+            yield pd.DataFrame([one(*row) for row in zip(f["paper_id"], f["version"], f["content"], strict=True)], columns=names, dtype=object)
+
+    return files.select(F.col("paper_id").cast("string"), F.col("version").cast("int"), "content").mapInPandas(run, FILE_DDL)
+
 
+def parsed_blocks(files: DataFrame, parser: Callable[[], Callable[[bytes], list[dict]]], key: Column | None = None, version: Column | None = None) -> DataFrame:
+    """Blocks of binary files by a plug-in: parser() makes, in each Python worker, a function from bytes to blocks in
+    reading order (block_type, page, section, text, bbox). Blank blocks go; texts are stripped; a file that is null, empty
+    or can't be parsed has none."""
     rows = files.select((key if key is not None else F.col("path")).alias("paper_id"), (version if version is not None else F.lit(1)).alias("version"), "content")
-    return rows.mapInPandas(run, BLOCKS_DDL)
+    return processed_files(rows, parser, least_chars=0).select("paper_id", "version", F.inline("blocks")).select("paper_id", "version", "block_ordinal", "block_type", "page", "section", "text", "bbox")
 
 
 def page_statistics(blocks: DataFrame) -> DataFrame:
@@ -70,40 +159,6 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     return rows.select("paper_id", "block_ordinal", kind.alias("block_type"), text.alias("text")).where("text <> ''")
 
 
-def parse_tei(documents: DataFrame, xml: str = "xml") -> DataFrame:
-    """documents with title, abstract, authors, sections (heading, text) and references of TEI XML; namespaces play no
-    part; white space collapses; null where there is nothing."""
-    x = F.col(xml)
-    name = lambda *steps: "".join(f"/*[local-name()='{s}']" for s in steps)
-    flat = lambda s: F.nullif(F.trim(F.regexp_replace(s, r"(?U)\s+", " ")), F.lit(""))
-    text = lambda path: flat(F.xpath_string(x, F.lit(f"string({path})")))
-    body = F.regexp_extract(x, r"(?s)<(?:\w+:)?body\b[^>]*>(.*?)</(?:\w+:)?body>", 1)
-    divs = F.regexp_extract_all(body, F.lit(r"(?s)<(?:\w+:)?div\b[^>]*>.*?</(?:\w+:)?div>"), F.lit(0))
-    bare = lambda s: flat(_unescape(F.regexp_replace(s, r"(?s)<[^>]*>", "")))
-    inner = lambda s, tag: F.regexp_extract_all(s, F.lit(rf"(?s)<(?:\w+:)?{tag}\b[^>]*>(.*?)</(?:\w+:)?{tag}>"), F.lit(1))
-    paragraphs = lambda d: F.array_join(F.filter(F.transform(inner(d, "p"), bare), lambda p: p.isNotNull()), "\n")
-    section = lambda d: F.struct(bare(F.try_element_at(inner(d, "head"), F.lit(1))).alias("heading"), paragraphs(d).alias("text"))
-    sections = F.filter(F.transform(divs, section), lambda s: s["heading"].isNotNull() | (s["text"] != ""))
-    people = F.regexp_extract_all(F.regexp_extract(x, r"(?s)<(?:\w+:)?sourceDesc\b[^>]*>(.*?)</(?:\w+:)?sourceDesc>", 1), F.lit(r"(?s)<(?:\w+:)?author\b[^>]*>\s*<(?:\w+:)?persName\b[^>]*>.*?</(?:\w+:)?persName>"), F.lit(0))
-    person = lambda p: F.nullif(F.concat_ws(" ", bare(F.try_element_at(inner(p, "forename"), F.lit(1))), bare(F.try_element_at(inner(p, "surname"), F.lit(1)))), F.lit(""))
-    back = F.regexp_extract(x, r"(?s)<(?:\w+:)?back\b[^>]*>(.*?)</(?:\w+:)?back>", 1)
-    references = F.transform(inner(back, "biblStruct"), lambda b: bare(F.try_element_at(inner(b, "title"), F.lit(1))))
-    return documents.select(
-        "*",
-        text("//*[local-name()='titleStmt']" + name("title")).alias("title"),
-        text("//*[local-name()='profileDesc']" + name("abstract")).alias("abstract"),
-        F.filter(F.transform(people, person), lambda p: p.isNotNull()).alias("authors"),
-        sections.alias("sections"),
-        F.filter(references, lambda r: r.isNotNull()).alias("references"),
-    )
-
-
-def _unescape(s: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(entity), F.lit(char))
-    return s
-
-
 def fetched(documents: DataFrame, client: Callable[[], Callable[[bytes], str]], content: str = "content") -> DataFrame:
     """documents with xml and xml_error of a service: client() makes a callable in each Python worker; a failure leaves
     the document without metadata."""
@@ -214,3 +269,9 @@ def load_documents(documents: DataFrame, stored_blocks: DataFrame) -> DataFrame:
     own = canonical_blocks(documents)
     rest = stored_blocks.join(documents.select("paper_id", "version"), ["paper_id", "version"], "left_anti")
     return own.unionByName(rest.select(own.columns))
+
+
+__all__ = [
+    "admit", "canonical_blocks", "default_prompt", "fetched", "html_blocks", "is_alive", "load_documents", "ocr_by_command", "page_statistics", "parse_tei", "parsed_blocks",
+    "processed_files", "read_canonical", "read_prompts", "read_uploads", "with_ocr", "within",
+]
