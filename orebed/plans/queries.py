@@ -607,9 +607,32 @@ def job_state_fold(spark, sf_dir):
 
 # -- retrieval ------------------------------------------------------------------------------------------------------
 
-@query()
+def chunk_sql(section: str) -> str:
+    """Chunks by a fold over each paper's blocks, a step of the recursion for each block."""
+    steps = f"""with recursive lines as ({views.DUCK_LINES}), recipe as ({views.RECIPE}), blocks as ({views.BLOCKS.replace("{S}", "varchar")}),
+o as (select paper_id, page, {section} as section, trim(text) as text, string_split_regex(trim(text), '\\s+') as w, row_number() over (partition by paper_id order by block_ordinal) as rn from blocks where trim(text) <> ''),
+f as (select paper_id, rn, 0 as chunk, text, w, section, page as lo, page as hi from o where rn = 1
+  union all select paper_id, rn, chunk + cast(cuts as int), case when not cuts then was || chr(10) || text when crosses then text else array_to_string(tail, ' ') || chr(10) || text end,
+    case when not cuts then list_concat(old, w) when crosses then w else list_concat(tail, w) end, case when cuts then section else coalesce(of, section) end, case when cuts then page else least(lo, page) end, case when cuts then page else greatest(hi, page) end
+  from (select o.paper_id, o.rn, o.text, o.w, o.section, o.page, f.chunk, f.text as was, f.w as old, f.section as of, f.lo, f.hi, coalesce(f.section <> o.section, false) as crosses,
+    coalesce(f.section <> o.section, false) or len(f.w) + len(o.w) > 200 as cuts, f.w[greatest(len(f.w) - 39, 1):len(f.w)] as tail from f join o on o.paper_id = f.paper_id and o.rn = f.rn + 1))"""
+    return f"{steps} select paper_id, chunk as chunk_ordinal, arg_max(section, rn) as section, arg_max(lo, rn) as page_start, arg_max(hi, rn) as page_end, cast(arg_max(len(w), rn) as int) as token_count, sha256(arg_max(text, rn)) as text_hash from f group by paper_id, chunk"
+
+
+def chunked(b: DataFrame) -> DataFrame:
+    return retrieval.chunk_blocks(b).select("paper_id", "chunk_ordinal", "section", "page_start", "page_end", "token_count", sha256(F.col("text")).alias("text_hash"))
+
+
+@query(chunk_sql("section"))
 def chunk_documents(spark, sf_dir):
-    return retrieval.chunk_blocks(blocks(spark, sf_dir)).select("paper_id", "chunk_ordinal", "section", "page_start", "page_end", "token_count", sha256(F.col("text")).alias("text_hash"))
+    return chunked(blocks(spark, sf_dir))
+
+
+@query(chunk_sql("case when page % 5 <> 0 then 'Part ' || (page - page % 8) // 8 end"))
+def chunk_sections(spark, sf_dir):
+    """Chunks where sections are long, so that words carry over, and every fifth page has none."""
+    section = F.when(F.col("page") % 5 != 0, F.concat(F.lit("Part "), F.expr("(page - page % 8) div 8")))
+    return chunked(blocks(spark, sf_dir).withColumn("section", section))
 
 
 EMBEDDED = f"""with toks as (select item_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9°]+')) as tok from benchmark), parts as (select item_id, {HASHED} from toks), sums as (select item_id, idx, sum(sign) as v from parts group by item_id, idx having sum(sign) <> 0),
