@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotation, answers, documents, evaluation, fusion, ner, normalize, rules, store
 from ..sources import readers, sinks
+from ..sources.tables import written
 
 FACT = ["paper_id", "version", "field", "field_key", "item_idx", "value_num", "value_unit", "value_str", "source", "confidence", "fact_ord", "block_ordinal", "page", "section", "evidence_text", "char_start", "char_end", "extractor_version"]
 
@@ -83,20 +84,21 @@ def ner_facts(blocks: DataFrame) -> DataFrame:
     return _long(ner.facts(ner.first_mentions(ner.mentions(blocks))))
 
 
-def llm_facts(blocks: DataFrame, model_answers: DataFrame) -> DataFrame:
-    """model_answers: paper_id, version, raw_text and, if known, extractor_version."""
+def llm_facts(blocks: DataFrame, model_answers: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
+    """model_answers: paper_id, version, raw_text and, if known, extractor_version; predicted: what answers.predictions has
+    made of them already."""
     version = "extractor_version" if "extractor_version" in model_answers.columns else None
-    found = answers.facts(answers.predictions(answers.parse(model_answers)))
+    found = answers.facts(answers.predictions(answers.parse(model_answers)) if predicted is None else predicted)
     located = answers.locate(found, blocks, None if version else F.lit("llm@recorded"))
     if version:
         located = located.join(model_answers.select("paper_id", "version", version).distinct(), ["paper_id", "version"])
     return _long(located)
 
 
-def hybrid_facts(blocks: DataFrame, model_answers: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
+def hybrid_facts(blocks: DataFrame, model_answers: DataFrame | None = None, only: list[str] | None = None, predicted: DataFrame | None = None) -> DataFrame:
     """The facts of all sources (of rules, those in only); fusion.fuse_scalars and fuse_precursors choose among them."""
     both = rule_facts(blocks, only).unionByName(ner_facts(blocks))
-    return both if model_answers is None else both.unionByName(llm_facts(blocks, model_answers))
+    return both if model_answers is None else both.unionByName(llm_facts(blocks, model_answers, predicted))
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"rule": rule_facts, "ner": ner_facts, "llm": llm_facts, "hybrid": hybrid_facts}
@@ -150,15 +152,15 @@ def run_experiment(predictions: dict[str, Parts], gold: Parts) -> tuple[DataFram
 
 def tracked_experiment(run_id: str, config: DataFrame, predictions: dict[str, Parts], gold: Parts) -> DataFrame:
     """An experiment as a long table of its run, with the configuration (one row) as parameters. Papers count once,
-    whatever the number of extractors."""
-    ablation, reports = run_experiment(predictions, gold)
+    whatever the number of extractors. The reports of the papers are written first: counts and measures read them."""
+    reports = written(run_experiment(predictions, gold)[1], "reports")
     papers = None
     for p, _, _ in predictions.values():
         papers = p.select("paper_id") if papers is None else papers.union(p.select("paper_id"))
     params = config.select(documents.as_params(config)).first()[0]
     counted = papers.agg(F.count_distinct("paper_id").alias("n")).join(reports.agg(F.count_distinct("paper_id").alias("scored")))  # two numbers
     n, scored = counted.first()
-    return sinks.track_run(F.lit(run_id), F.create_map(*[F.lit(x) for kv in params.items() for x in kv]), ablation, F.lit(n), F.lit(scored))
+    return sinks.track_run(F.lit(run_id), F.create_map(*[F.lit(x) for kv in params.items() for x in kv]), evaluation.ablation(reports), F.lit(n), F.lit(scored))
 
 
 def normalized_predictions(scalars: DataFrame, threshold: float = normalize.THRESHOLD) -> DataFrame:

@@ -11,7 +11,8 @@ from ..functions.tables import CANONICAL, ENTITIES, UNITS, entities
 from ..functions.text import sha256
 from ..operators import annotation, answers, documents, evaluation, fusion, ner, normalize, retrieval, rules, schema, store
 from ..sources import readers, sinks
-from . import views
+from ..sources.tables import written
+from . import engine, views
 from .views import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,7 +140,7 @@ def tei_sections(spark, sf_dir):
 @query("select doc_id, to_json({doc_id: doc_id, quality: quality, toxic: toxic}) as value from labels")
 def gold_json_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return rows.select("doc_id", F.to_json(F.struct(*rows.columns)).alias("value"))
+    return sinks.json_lines(rows, ["doc_id"])
 
 
 @query("select event_id, case when event_id % 10 = 1 then 'version' when event_id % 7 = 0 then 'char_end' when value / 100 > 1 or value < 0 then 'confidence' end as reason from events where event_id % 10 = 1 or event_id % 7 = 0 or value / 100 > 1 or value < 0")
@@ -159,7 +160,7 @@ def rule_sql(name: str) -> str:
 
 def _rule(name: str):
     def run(spark, sf_dir):
-        f = rules.facts(blocks(spark, sf_dir)).where(F.col("field") == name)
+        f = rules.facts(blocks(spark, sf_dir), only=[name])
         return f.select("paper_id", "block_ordinal", F.col("value_num").alias("value"), F.col("value_unit").alias("unit"))
 
     run.__name__ = "rule_time" if name == "reaction_time" else f"rule_{name}"
@@ -172,7 +173,7 @@ for _name in UNITS:
 
 @query(duck("select doc_id as paper_id, temp as temperature_value, 'C' as temperature_unit, hours as reaction_time_value, 'h' as reaction_time_unit from said"))
 def rule_first_wins_prediction(spark, sf_dir):
-    p = rules.first_wins(rules.facts(blocks(spark, sf_dir)))
+    p = rules.first_wins(rules.facts(blocks(spark, sf_dir), only=["temperature", "reaction_time"]))
     return p.select("paper_id", *[F.col(f"{q}.{c}").alias(f"{q}_{c}") for q in ("temperature", "reaction_time") for c in ("value", "unit")])
 
 
@@ -261,6 +262,17 @@ def embedding_fallback_match(spark, sf_dir):
     return near.where("match_method = 'embedding'").select("name", "canonical_name", F.round("match_confidence", 9).alias("score"))
 
 
+WRITTEN = "case r % 3 when 0 then {p} || ' powder' when 1 then 'dry  ' || {s} else {v} || ' Grade' end".format(p=views.PRECURSOR, s=views.SECOND, v=views.SOLVENT)
+WRITTEN_NEAR = NEAR.replace("with dim as", "dim as", 1).split("names as (")[0] + "wrote as (select distinct doc_id as paper_id, " + WRITTEN + " as name from recipe where injected), names as (select distinct name from wrote)," + NEAR.split("from dim),", 1)[1].split("select name, max_by", 1)[0].replace("string_split(lower(name), ' ')", "string_split_regex(lower(name), ' +')")
+
+
+@query(duck("").rstrip() + ", " + WRITTEN_NEAR + " select paper_id, name, canonical_name, round(score, 6) as score from wrote join (select name, arg_max(canonical_name, score) as canonical_name, max(score) as score from scores group by name having max(score) >= 0.6) using (name)")
+def fallback_names(spark, sf_dir):
+    """Names as documents may write them, matched to the nearest entity by their tokens where no alias is the same."""
+    names = view(spark, sf_dir, "recipe").where("injected").selectExpr("doc_id as paper_id", WRITTEN + " as name").distinct()
+    return normalize.match_names(names).where("match_method = 'embedding'").select("paper_id", "name", "canonical_name", F.round("match_confidence", 6).alias("score"))
+
+
 # -- answers and fusion ---------------------------------------------------------------------------------------------
 
 def predicted(spark, sf_dir) -> DataFrame:
@@ -308,17 +320,10 @@ def answers_evidence(spark, sf_dir):
     return located.select("paper_id", "field", "block_ordinal", "page", "section", "evidence_text", "char_start", "confidence")
 
 
-FACT = ["paper_id", "version", "field", "field_key", "item_idx", "value_num", "value_unit", "value_str", "source", "confidence", "fact_ord"]
-
-
 def all_facts(spark, sf_dir) -> DataFrame:
     """Facts of the rules, the vocabulary and the recorded answers, one long table."""
-    place = F.col("block_ordinal").cast("long") * 1_000_000 + F.col("char_start")
-    none = F.lit(None)
-    r = rules.facts(blocks(spark, sf_dir)).withColumns({"field_key": F.col("field"), "item_idx": none.cast("int"), "value_str": none.cast("string"), "fact_ord": place})
-    n = ner.facts(first_mentions(spark, sf_dir)).withColumn("fact_ord", place)
-    a = answers.locate(answers.facts(predicted(spark, sf_dir)), blocks(spark, sf_dir)).withColumn("fact_ord", F.col("fact_ord").cast("long"))
-    return r.select(FACT).unionByName(n.select(FACT)).unionByName(a.select(FACT))
+    said = view(spark, sf_dir, "answers").withColumn("version", F.lit(1))
+    return engine.hybrid_facts(blocks(spark, sf_dir), said, predicted=written(predicted(spark, sf_dir), "predicted"))
 
 
 @query(
@@ -347,7 +352,7 @@ def union_techniques(spark, sf_dir):
 
 def gold_prediction(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Gold as predictions, its precursors, and its techniques."""
-    g = view(spark, sf_dir, "gold")
+    g = written(view(spark, sf_dir, "gold"), "gold")
     top = g.selectExpr("paper_id", "named_struct('name', material) as material", "solvent", "named_struct('value', temp_value, 'unit', temp_unit) as temperature", "named_struct('value', time_value, 'unit', time_unit) as reaction_time", "cast(null as double) as ph", "'reduction' as synthesis_method")
     quantity = lambda value, unit: F.struct(value.cast("double").alias("value"), F.lit(unit).cast("string").alias("unit"))
     none = F.lit(None).cast("struct<value:double,unit:string>")
@@ -358,7 +363,7 @@ def gold_prediction(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def answer_prediction(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = predicted(spark, sf_dir).where("error is null")
+    p = written(predicted(spark, sf_dir).where("error is null"), "predicted")
     rows = p.select("paper_id", F.posexplode("precursors").alias("item_idx", "x")).select("paper_id", "item_idx", "x.name", "x.concentration", "x.amount", F.lit(None).cast("string").alias("canonical_id"))
     return p, rows, p.select("paper_id", F.explode("characterization.technique").alias("technique"))
 
@@ -379,42 +384,40 @@ EVAL = [("paired", PAIRED), ("status", STATUS), ("relation", RELATION), ("entity
 BIG = "paper_id, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn"
 
 
-def statuses(spark, sf_dir) -> DataFrame:
-    return evaluation.scalar_status(answer_prediction(spark, sf_dir)[0], gold_prediction(spark, sf_dir)[0])
-
-
-def precursor_matches(spark, sf_dir) -> DataFrame:
-    g = gold_prediction(spark, sf_dir)[1]
-    p = answer_prediction(spark, sf_dir)[1].join(g.select("paper_id").distinct(), "paper_id", "left_semi")
-    both = evaluation.match_precursors(p, g)
-    return both.join(answer_prediction(spark, sf_dir)[0].select("paper_id"), "paper_id", "left_semi")
+def both(spark, sf_dir) -> tuple[engine.Parts, engine.Parts]:
+    """What recorded answers say, and gold, each written once for all that reads it."""
+    return answer_prediction(spark, sf_dir), gold_prediction(spark, sf_dir)
 
 
-def entity_rows(spark, sf_dir) -> DataFrame:
-    (p, _, pt), (g, _, gt) = answer_prediction(spark, sf_dir), gold_prediction(spark, sf_dir)
-    both = p.select("paper_id").join(g.select("paper_id"), "paper_id")
-    sets = evaluation.technique_sets(pt, gt).join(both, "paper_id", "left_semi")
-    return evaluation.entity_counts(precursor_matches(spark, sf_dir), evaluation.named_scalars(p, g), sets)
+def precursor_matches(answered: engine.Parts, gold: engine.Parts) -> DataFrame:
+    """Precursors of the papers that both have."""
+    (p, pp, _), (_, gp, _) = answered, gold
+    return evaluation.match_precursors(pp.join(gp.select("paper_id").distinct(), "paper_id", "left_semi"), gp).join(p.select("paper_id"), "paper_id", "left_semi")
 
 
 @query(duck("select paper_id, field, status from status", *EVAL))
 def scalar_status(spark, sf_dir):
-    return statuses(spark, sf_dir)
+    answered, gold = both(spark, sf_dir)
+    return evaluation.scalar_status(answered[0], gold[0])
+
+
+def levels(spark, sf_dir, level: str) -> DataFrame:
+    return engine.evaluate(*both(spark, sf_dir)).where(F.col("level") == level).drop("level")
 
 
 @query(duck(f"select {BIG} from entity", *EVAL))
 def entity_prf(spark, sf_dir):
-    return entity_rows(spark, sf_dir).drop("level")
+    return levels(spark, sf_dir, "entity")
 
 
 @query(duck(f"select {BIG} from relation", *EVAL))
 def relation_prf(spark, sf_dir):
-    return evaluation.relation_counts(evaluation.relations(precursor_matches(spark, sf_dir))).drop("level")
+    return levels(spark, sf_dir, "relation")
 
 
 @query(duck(f"select {BIG} from field_", *EVAL))
 def field_prf(spark, sf_dir):
-    return evaluation.field_counts(statuses(spark, sf_dir)).drop("level")
+    return levels(spark, sf_dir, "field")
 
 
 @query(
@@ -426,8 +429,8 @@ from (select 'entity' as level, tp, fp, fn from entity union all select 'relatio
     )
 )
 def ablation_table(spark, sf_dir):
-    counts = entity_rows(spark, sf_dir).unionByName(evaluation.relation_counts(evaluation.relations(precursor_matches(spark, sf_dir)))).unionByName(evaluation.field_counts(statuses(spark, sf_dir)))
-    a = evaluation.ablation(counts.withColumn("extractor", F.lit("LLM")))
+    answered, gold = both(spark, sf_dir)
+    a = engine.run_experiment({"LLM": answered}, gold)[0]
     return a.select("extractor", "level", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -440,8 +443,9 @@ union all select paper_id, 'WRONG_RELATION', 'precursors:' || lower(second) || '
     )
 )
 def error_taxonomy(spark, sf_dir):
-    m = precursor_matches(spark, sf_dir)
-    return evaluation.errors(statuses(spark, sf_dir), m, evaluation.relations(m))
+    answered, gold = both(spark, sf_dir)
+    m = precursor_matches(answered, gold)
+    return evaluation.errors(evaluation.scalar_status(answered[0], gold[0]), m, evaluation.relations(m))
 
 
 UNIT_CASES = "select e.event_id, e.value as a, u.unit as ua, e.value * u.factor / w.factor as b, w.unit as ub, u.dim = w.dim as same from events e join units u on u.n = e.event_id % 14 join units w on w.n = (e.event_id * 3 + 1) % 14"
@@ -578,8 +582,7 @@ def content_hash_versions(spark, sf_dir):
 
 @query("select sha256(text) as content_hash, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
 def exact_duplicate_documents(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", sha256(F.col("text")).alias("content_hash"))
-    return rows.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return store.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
@@ -670,14 +673,38 @@ def cosine_topk_hundredth(spark, sf_dir):
 
 # -- experiments ----------------------------------------------------------------------------------------------------
 
-@query()
+PREDICTED = """select 'LLM' as extractor, 'entity' as level, tp, fp, fn from entity union all select 'LLM', 'relation', tp, fp, fn from relation union all select 'LLM', 'field', tp, fp, fn from field_
+union all select 'HUMAN', 'entity', 4 + case when solvent is null then 0 else 1 end, 0, 0 from third union all select 'HUMAN', 'relation', 2, 0, 0 from third union all select 'HUMAN', 'field', 4 + case when solvent is null then 0 else 1 end, 0, 0 from third"""
+SUMMED = "select extractor, level, sum(tp) / (sum(tp) + sum(fp)) as p, sum(tp) / (sum(tp) + sum(fn)) as r from predicted group by extractor, level"
+
+
+@query(
+    duck(
+        """select 'run-1' as run_id, '{"name":"baseline","top_k":"10","prompt_sha":"' || substr(sha256('Extract all.'), 1, 10) || '"}' as params, name, round(value, 9) as value from (
+  select extractor || '.' || level || '.precision' as name, p as value from summed union all select extractor || '.' || level || '.recall', r from summed union all select extractor || '.' || level || '.f1', 2 * p * r / (p + r) from summed
+  union all select 'paper_count', count(*) from (select doc_id from said where doc_id % 50 <> 0 union select paper_id from third) union all select 'scored_paper_count', count(*) from (select paper_id from paired union select paper_id from third))""",
+        *EVAL,
+        ("third", "select * from gold where paper_id % 3 = 0"),
+        ("predicted", PREDICTED),
+        ("summed", SUMMED),
+    )
+)
 def tracked_run(spark, sf_dir):
-    a = evaluation.ablation(evaluation.field_counts(statuses(spark, sf_dir)).withColumn("extractor", F.lit("LLM")))
-    config = spark.range(1).select(F.lit("baseline").alias("name"), F.lit("llm").alias("strategy"), F.lit("Extract all.").alias("prompt"))
-    return sinks.track_run(F.lit("run-1"), F.create_map(F.lit("name"), F.lit("baseline")), a).withColumn("params", F.to_json("params")).withColumn("columns", F.lit(len(config.columns)))
+    """An experiment of two extractors: recorded answers, and a human who knows the gold of every third paper."""
+    answered, gold = both(spark, sf_dir)
+    config = spark.range(1).select(F.lit("baseline").alias("name"), F.lit(10).alias("top_k"), F.lit(" Extract all.\n").alias("prompt"))
+    run = engine.tracked_experiment("run-1", config, {"LLM": answered, "HUMAN": tuple(p.where("paper_id % 3 = 0") for p in gold)}, gold)
+    return run.select("run_id", F.to_json("params").alias("params"), "name", F.round("value", 9).alias("value"))
 
 
 @query("select event_id, case when trim(lower(event_type)) in ('llm', 'prompt_llm', 'rag_llm') then 'llm' end as strategy from events")
 def strategy_names(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", documents.canonical_strategy(F.col("event_type")).alias("strategy"))
 
+
+
+@query("select event_id, case event_id % 8 when 0 then 'llm' when 1 then 'llm' when 2 then 'llm' when 3 then 'rule' when 4 then 'ner' when 5 then 'hybrid' end as strategy from events")
+def strategy_requests(spark, sf_dir):
+    """Names of strategies as they may be asked for, and two that are none."""
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("LLM", " prompt_llm", "Rag_LLM\n", "rule", "NER ", "\tHybrid", "regex", "")]), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", documents.canonical_strategy(asked).alias("strategy"))
