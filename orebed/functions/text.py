@@ -11,22 +11,29 @@ from pyspark.sql import functions as F
 FLAGS = "(?iuU)"
 
 
+#: Noncharacters, which no text is meant to hold, around each match; where one does, it counts as U+FFFD.
+OPENS, CLOSES = "\ufdd0", "\ufdd1"
+
+
 def spans(text: Column, pattern: str, groups: int = 2) -> Column:
     """All matches, left to right: array of text, start, end (code points, end exclusive) and g1, g2, ... The text is gone
-    through for matches and for the gaps between; groups are taken from the matches alone, which match by themselves too."""
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    through once, for matches; their marks part it, and groups are taken from the matches alone, which match by
+    themselves too."""
+    held = F.contains(text, F.lit(OPENS)) | F.contains(text, F.lit(CLOSES))
+    bare = F.when(held, F.translate(text, OPENS + CLOSES, "\ufffd\ufffd")).otherwise(text)
+    parts = F.split(F.regexp_replace(bare, F.lit(pattern), F.lit(f"{OPENS}$0{CLOSES}")), OPENS, -1)
 
-    def every(f: Column) -> Column:
-        sizes = F.transform(f["hits"], lambda h, i: F.char_length(F.element_at(f["gaps"], i + 1)) + F.char_length(h))
-        ends = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, (F.element_at(a, -1) + n).cast("int")))
+    def every(p: Column) -> Column:
+        rest = F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))  # a match, its mark, what follows it
+        starts = F.aggregate(rest, F.array(F.char_length(F.element_at(p, 1))), lambda a, x: F.array_append(a, (F.element_at(a, -1) + F.char_length(x) - 1).cast("int")))
 
-        def one(hit: Column, i: Column, e: Column) -> Column:
-            end = F.element_at(e, i + 2)
-            return F.struct(hit.alias("text"), (end - F.char_length(hit)).alias("start"), end.alias("end"), *[F.regexp_extract(hit, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)])
+        def one(x: Column, i: Column, at: Column) -> Column:
+            start, hit = F.element_at(at, i + 1), F.substring_index(x, CLOSES, 1)
+            return let(hit, lambda h: F.struct(h.alias("text"), start.alias("start"), (start + F.char_length(h)).cast("int").alias("end"), *[F.regexp_extract(h, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)]))
 
-        return let(ends, lambda e: F.transform(f["hits"], lambda hit, i: one(hit, i, e)))
+        return F.when(F.size(p) > 1, let(starts, lambda at: F.transform(rest, lambda x, i: one(x, i, at)))).otherwise(F.transform(F.slice(p, 1, 0), lambda x: one(x, F.lit(0), F.array(F.lit(0)))))
 
-    return let(found, every)
+    return let(parts, every)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -10,15 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import TERMS, look_up
-from ..functions.text import spans
+from ..functions.text import let, spans
 from .rules import BLOCK, matches
 
 MAX_DISTANCE = 60
 
 
 def _pattern(terms: list[str]) -> str:
-    longest = sorted(terms, key=len, reverse=True)  # stable: ties keep their order
-    return r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(re.sub(r"([^A-Za-z0-9 ])", r"\\\1", t) for t in longest) + r")(?![\p{L}\p{N}])"
+    """The terms, longest first, between characters that are no letter or digit. Terms that begin alike share that letter,
+    so that a place is tried once for each letter; which of them wins is the same."""
+    escaped = lambda t: re.sub(r"([^A-Za-z0-9 ])", r"\\\1", t)
+    by_letter: dict[str, list[str]] = {}
+    for t in sorted(terms, key=len, reverse=True):  # stable: ties keep their order
+        by_letter.setdefault(t[0].lower(), []).append(t[1:])
+    every = "|".join(f"{escaped(c)}(?:{'|'.join(map(escaped, rest))})" for c, rest in by_letter.items())
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}])({every})(?![\p{{L}}\p{{N}}])"
 
 
 def entities(text: Column, terms: dict[str, list[str]] = TERMS) -> Column:
@@ -79,11 +85,17 @@ def mentions(blocks: DataFrame, terms: dict[str, list[str]] = TERMS, model: Call
     """A row for each entity of each block, precursors with their nearest concentration and mass; quantities are sought
     only in blocks with an entity, within the row. model: a function from the text column to entities in place of the
     vocabulary (entities, greedy_entities or model_entities)."""
-    found = blocks.where(F.length("text") > 0).withColumn("e", model(F.col("text")) if model else entities(F.col("text"), terms)).where(F.size("e") > 0)
-    held = found.withColumn("c", matches(F.col("text"), "concentration")).withColumn("m", matches(F.col("text"), "mass"))
-    rows = held.select(*BLOCK, "page", "section", "c", "m", F.explode("e").alias("e"))
-    link = lambda q: F.when(F.col("e.label") == "PRECURSOR", nearest(F.col("e"), F.col(q)))
-    return rows.select(*BLOCK, "page", "section", "e.*", link("c").alias("concentration"), link("m").alias("amount"))
+    found = model(F.col("text")) if model else entities(F.col("text"), terms)
+    quantities = F.struct(matches(F.col("text"), "concentration").alias("c"), matches(F.col("text"), "mass").alias("m"))
+
+    def linked(e: Column, q: Column) -> Column:
+        link = lambda kind: F.when(e["label"] == "PRECURSOR", nearest(e, q[kind]))
+        return F.struct(e.alias("e"), link("c").alias("concentration"), link("m").alias("amount"))
+
+    # one expression: as columns, the optimizer would compute entities once for each use
+    every = let(found, lambda es: F.when(F.size(es) > 0, let(quantities, lambda q: F.transform(es, lambda e: linked(e, q)))))
+    rows = blocks.where(F.length("text") > 0).select(*BLOCK, "page", "section", F.explode(every).alias("x"))
+    return rows.select(*BLOCK, "page", "section", "x.e.*", "x.concentration", "x.amount")
 
 
 def first_mentions(mention_rows: DataFrame) -> DataFrame:
