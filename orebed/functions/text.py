@@ -15,6 +15,22 @@ FLAGS = "(?iuU)"
 OPENS, CLOSES = "\ufdd0", "\ufdd1"
 
 
+def running(sizes: Column, start: Column, stride: int = 256) -> Column:
+    """start, start + the first size, start + the first two, ...: one number more than sizes. Sums within strides, then of
+    strides, so that long arrays aren't copied for each element."""
+    append = lambda a, n: F.array_append(a, (F.element_at(a, -1) + n).cast("int"))
+
+    def of(x: Column) -> Column:
+        many, first = x["sizes"], x["start"]
+        strides = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(many) / stride).cast("int") - 1, F.lit(0)))
+        part = lambda k: F.slice(many, k * stride + 1, stride)
+        bases = F.aggregate(F.transform(strides, lambda k: F.aggregate(part(k), F.lit(0), lambda a, n: a + n)), F.array(first), append)
+        sums = let(bases, lambda b: F.flatten(F.transform(strides, lambda k: F.slice(F.aggregate(part(k), F.array(F.element_at(b, k + 1)), append), 1, stride))))
+        return F.when(F.size(many) == 0, F.array(first)).otherwise(F.concat(F.slice(sums, 1, F.size(many)), F.array(F.element_at(bases, -1))))
+
+    return let(F.struct(sizes.alias("sizes"), start.cast("int").alias("start")), of)
+
+
 def spans(text: Column, pattern: str, groups: int = 2) -> Column:
     """All matches, left to right: array of text, start, end (code points, end exclusive) and g1, g2, ... The text is gone
     through once, for matches; their marks part it, and groups are taken from the matches alone, which match by
@@ -25,7 +41,7 @@ def spans(text: Column, pattern: str, groups: int = 2) -> Column:
 
     def every(p: Column) -> Column:
         rest = F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))  # a match, its mark, what follows it
-        starts = F.aggregate(rest, F.array(F.char_length(F.element_at(p, 1))), lambda a, x: F.array_append(a, (F.element_at(a, -1) + F.char_length(x) - 1).cast("int")))
+        starts = running(F.transform(rest, lambda x: F.char_length(x) - 1), F.char_length(F.element_at(p, 1)))
 
         def one(x: Column, i: Column, at: Column) -> Column:
             start, hit = F.element_at(at, i + 1), F.substring_index(x, CLOSES, 1)

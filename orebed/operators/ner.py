@@ -48,6 +48,64 @@ def greedy_entities(text: Column, terms: dict[str, list[str]]) -> Column:
     return F.array_sort(taken, lambda a, b: a["start"] - b["start"])
 
 
+#: Runs of letters and digits; what stands between two of them can't be part of a longer word.
+WORD = r"[\p{L}\p{N}]+"
+#: Signs that a term of a dictionary may begin or end with, at most.
+EDGE = 8
+#: Terms of a dictionary that are sent to all executors; a larger one is joined by shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def dictionary_entities(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The choice of greedy_entities for a dictionary of any size: a row for each entity of each block, with text, start, end
+    and label. dictionary: term, label, ord (of terms of one length the smaller goes first).
+
+    A term that is found begins and ends between words, so it is a row of whole words with what parts them. First words
+    that terms have (with the numbers of words of those) pick the places worth a look; there the words from the place on
+    are met with the terms of that many words by their hash, and compared. Both tables go to all executors if they are
+    small enough (they are counted), else rows of a few words are shuffled. Of a block's hits, longest terms first, each
+    takes its place if that is free.
+
+    Terms without a letter or digit, or with over EDGE signs at an end, aren't found. Case plays no part. Blocks without
+    text or hits have no rows; null terms none either; repeated terms have the label of the smallest ord."""
+    signs = lambda pattern: F.regexp_extract("term", pattern, 0)
+    d = dictionary.where(F.col("term").rlike(WORD)).select(
+        F.lower("term").alias("whole"), "label", F.col("ord").alias("ord"), F.lower(signs(r"^[^\p{L}\p{N}]*")).alias("lead"), F.lower(signs(r"[^\p{L}\p{N}]*$")).alias("trail"), F.char_length("term").alias("size")
+    )
+    d = d.where((F.char_length("lead") <= EDGE) & (F.char_length("trail") <= EDGE))
+    core = F.substring("whole", F.char_length("lead") + 1, F.col("size") - F.char_length("lead") - F.char_length("trail"))
+    d = d.withColumn("core", core).withColumns({"core_hash": F.xxhash64("core"), "first": F.xxhash64(F.regexp_extract("core", WORD, 0)), "words": F.size(F.regexp_extract_all("core", F.lit(WORD), F.lit(0)))})
+    firsts = d.groupBy("first").agg(F.collect_set("words").alias("sizes"))
+    terms = d.select("core_hash", "core", "label", "ord", "lead", "trail", "size")
+    if dictionary.count() <= MOST_BROADCAST:
+        firsts, terms = F.broadcast(firsts), F.broadcast(terms)
+
+    where = [*BLOCK, "page", "section"]
+    words = blocks.where(F.length("text") > 0).select(*where, "text", spans(F.col("text"), WORD, 0).alias("ws"))
+    places = words.select(*where, "text", "ws", F.posexplode("ws.text").alias("i", "w")).withColumn("first", F.xxhash64(F.lower("w")))
+    looked = places.join(firsts, "first").select(*where, "text", "ws", "i", F.explode("sizes").alias("n")).where(F.col("i") + F.col("n") <= F.size("ws"))
+    start, end = F.element_at("ws", F.col("i") + 1)["start"], F.element_at("ws", F.col("i") + F.col("n"))["end"]
+    cut = lambda a, b: F.substring("text", a + 1, b - a)
+    beside = F.greatest(start - EDGE - 1, F.lit(0))
+    rows = looked.select(*where, start.alias("a"), end.alias("b"), cut(start, end).alias("said"), cut(beside, start).alias("before"), cut(end, end + EDGE + 1).alias("after"))
+    rows = rows.withColumn("core_hash", F.xxhash64(F.lower("said")))
+    met = rows.join(terms, "core_hash").where(F.lower("said") == F.col("core"))
+    lead, trail = F.char_length("lead"), F.char_length("trail")
+    # what a term begins with stands before the words, and before that no letter or digit
+    fits = F.endswith(F.lower("before"), "lead") & F.startswith(F.lower("after"), "trail")
+    beyond = F.when(lead > 0, F.when(F.char_length("before") > lead, ~F.substring("before", F.char_length("before") - lead, 1).rlike(WORD)).otherwise(F.lit(True))).otherwise(F.lit(True))
+    behind = F.when(trail > 0, ~F.coalesce(F.substring("after", trail + 1, 1), F.lit("")).rlike(WORD)).otherwise(F.lit(True))
+    hits = met.where(fits & beyond & behind)
+    text = F.concat(F.when(lead > 0, F.substring("before", F.char_length("before") - lead + 1, lead)).otherwise(""), "said", F.substring("after", F.lit(1), trail))
+    hit = F.struct((-F.col("size")).alias("minus"), "ord", (F.col("a") - lead).alias("start"), (F.col("b") + trail).alias("end"), text.alias("text"), "label")
+    listed = hits.groupBy(*where).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    none = F.array().cast("array<struct<text:string,start:int,end:int,label:string>>")
+    meets = lambda taken, h: F.exists(taken, lambda t: (t["start"] < h["end"]) & (h["start"] < t["end"]))
+    own = lambda h: F.struct(h["text"].alias("text"), h["start"].alias("start"), h["end"].alias("end"), h["label"].alias("label"))
+    chosen = F.aggregate("hits", none, lambda a, h: F.when(meets(a, h), a).otherwise(F.array_append(a, own(h))))
+    return listed.select(*where, F.explode(chosen).alias("e")).select(*where, "e.*")
+
+
 def distance(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Characters between two spans; 0 if they overlap."""
     return F.greatest(b_start - a_end, a_start - b_end, F.lit(0))
