@@ -5,12 +5,14 @@ from __future__ import annotations
 import string
 import zlib
 from collections.abc import Iterator
+from importlib import import_module
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import few_rows
+from .shared import few_rows, give_back
 
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 PACKED_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -77,42 +79,66 @@ def _model_alone(path: str):
     return Tokenizer.from_str(json.dumps(spec)), letters
 
 
-def tokenize_pieces(
-    docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 1, with_ids: bool = False, cache_words: int = 400_000
-) -> DataFrame:
-    """Each document's token ids and end_id, cut into pieces of max_len (the last may be shorter).
+class Words:
+    """A tokenizer in a worker, with the ids of words met: two generations of cache_words at most."""
 
-    tokenizer: name of a public_tokenizers file whose tokens never cross white space, with one token for the character
-    0 between spaces, which parts the words that are encoded together. Words met before take their ids from a cache of
-    two generations of cache_words at most. A null or empty text is the end_id alone. ids: little-endian
-    unsigned 32-bit ids, if with_ids."""
+    #: The one that this worker process has, by name: its next tasks go on with it.
+    kept: dict[str, Words] = {}
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, name: str):
         import os
 
-        import numpy as np
         import public_tokenizers
 
+        give_back()  # what the worker's earlier steps have left
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-        encode = lambda text: np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        parting = encode(" \0 ")
-        assert len(parting) == 1, "the tokenizer has no token of its own for the character 0"
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.tok = Tokenizer.from_file(public_tokenizers.path(name))
+        self.parting = self.encode(" \0 ")
+        assert len(self.parting) == 1, "the tokenizer has no token of its own for the character 0"
         # words of ASCII letters, then signs, can be looked up in lower case and in two parts if the tokenizer parts them
-        parted = all(np.array_equal(encode(a + b), np.concatenate([encode(a.lower()), encode(b)])) for a in ("Word", "tHe", "X") for b in (".", ",", "!!", "###", ".%&|", ":;?$*"))
-        quick, byte_letters = _model_alone(public_tokenizers.path(tokenizer))
+        self.parted = all(np.array_equal(self.encode(a + b), np.concatenate([self.encode(a.lower()), self.encode(b)])) for a in ("Word", "tHe", "X") for b in (".", ",", "!!", "###", ".%&|", ":;?$*"))
+        self.quick, self.byte_letters = _model_alone(public_tokenizers.path(name))
         same = ("the", "ment", "überß", "ñçéàÿ", "elleaux")
-        if not (quick and parted and all(quick.encode(w.encode().decode("latin-1").translate(byte_letters)).ids == encode(w).tolist() for w in same)):
-            quick = None
-        end, step, known, old = np.array([end_id], "<u4").tobytes(), 4 * max_len, {}, {}
+        if not (self.quick and self.parted and all(self.quick.encode(w.encode().decode("latin-1").translate(self.byte_letters)).ids == self.encode(w).tolist() for w in same)):
+            self.quick = None
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    @classmethod
+    def of(cls, name: str) -> Words:
+        if name not in cls.kept:
+            cls.kept.clear()
+            cls.kept[name] = cls(name)
+        return cls.kept[name]
+
+
+def tokenize_pieces(
+    docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 1, with_ids: bool = False, cache_words: int = 400_000
+) -> DataFrame:
+    """Each document's token ids and end_id, cut into pieces of max_len (the last may be shorter).
+
+    tokenizer: name of a public_tokenizers file whose tokens never cross white space, with one token for the character
+    0 between spaces, which parts the words that are encoded together. Words met before take their ids from a cache of
+    two generations of cache_words at most, which a worker's next tasks go on with. A null or empty text is the end_id alone. ids: little-endian
+    unsigned 32-bit ids, if with_ids."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of the module that the worker has, not of a copy that came with the task
+        words = import_module("orebed.llm.packing").Words.of(tokenizer)
+        encode, parting, parted, quick, byte_letters = words.encode, words.parting, words.parted, words.quick, words.byte_letters
+        end, step, known, old = np.array([end_id], "<u4").tobytes(), 4 * max_len, words.known, words.old
         for part in few_rows(parts):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             split = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
             here = set().union(*split)
             if len(known) + len(here) > cache_words:
                 known, old = {}, known
+                words.known, words.old = known, old
             new, parts_of = set(), {}
             for w in here.difference(known):
                 if w in old:
@@ -121,8 +147,12 @@ def tokenize_pieces(
                 core = w.rstrip(b".,;:!?#*$%&|") if parted else w
                 letters = parted and not core.translate(None, LETTERS)
                 if letters and core != w and core:
-                    parts_of[w] = pair = (core.lower(), w[len(core) :])
-                    new.update(x for x in pair if x not in known)
+                    low, signs = core.lower(), w[len(core) :]
+                    parts_of[w] = (low, signs)
+                    if low not in known:
+                        new.add(low)
+                    if signs not in known:
+                        new.add(signs)
                 elif letters and (low := core.lower()) != core:
                     parts_of[w] = (low, b"")
                     if low not in known:
@@ -144,7 +174,8 @@ def tokenize_pieces(
                 cut, raw = np.flatnonzero(ids == parting[0]) * 4, ids.tobytes()
                 known.update(zip(some, (raw[i:j] for i, j in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True)), strict=True))
             known[b""] = b""
-            known.update((w, known[a] + known[b]) for w, (a, b) in parts_of.items())
+            for w, (a, b) in parts_of.items():
+                known[w] = known[a] + known[b]
             for doc, ws in zip(part.column(0).to_pylist(), split, strict=True):
                 ids = b"".join(map(known.__getitem__, ws)) + end
                 for k in range(0, len(ids), step):
@@ -185,9 +216,9 @@ def pack(pieces: DataFrame, max_len: int = 4096, most_open: int = 2048) -> DataF
     return dealt.sortWithinPartitions(place, "doc_id", "piece").mapInArrow(run, PACKED_DDL)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", max_len: int = 4096, end_id: int = 1, most_open: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", max_len: int = 4096, end_id: int = 1, most_open: int = 2048, cache_words: int = 400_000) -> DataFrame:
     """Whole documents as pieces in sequences of at most max_len tokens; see tokenize_pieces and pack.
 
     Nulls and empty texts: one piece with the end id. Repeated rows: each packed on its own. An empty table: no rows.
     Other columns of docs take no part."""
-    return pack(tokenize_pieces(docs, tokenizer, max_len, end_id), max_len, most_open)
+    return pack(tokenize_pieces(docs, tokenizer, max_len, end_id, cache_words=cache_words), max_len, most_open)

@@ -43,6 +43,17 @@ def few_rows(parts: Iterable[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterato
             yield p.slice(at, rows)
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the machine, where the C library can."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, so that a lost executor costs one step, and let Spark
     free the shuffle files of the steps before. They go with drop(), drop_scratch() or the driver's end."""
