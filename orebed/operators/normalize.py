@@ -39,15 +39,15 @@ def match_names(names: DataFrame, name: str = "name", threshold: float = THRESHO
     vectors = entities(spark).select(F.col("canonical_id").alias("__id"), F.col("canonical_name").alias("__name"), F.col("cas_number").alias("__cas"), sparse_vector(F.col("canonical_name"), dims).alias("__v"))
     order = {e[0]: i for i, e in enumerate(_ids())}
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("__id"))
-    table = F.broadcast(vectors.agg(F.collect_list(F.struct(rank.alias("rank"), "__id", "__name", "__cas", "__v")).alias("all")))  # one row
+    table = F.broadcast(vectors.agg(F.collect_list(F.struct(rank.alias("__rank"), "__id", "__name", "__cas", "__v")).alias("__all")))  # one row
     rest = exact.where("canonical_id is null and __key is not null").select(F.col("__key").alias("__k")).distinct().join(table)
-    scored = rest.withColumn("own", sparse_vector(F.col("__k"), dims))
-    best = F.array_max(F.transform("all", lambda e: F.struct(sparse_dot(scored["own"], e["__v"]).alias("score"), (-e["rank"]).alias("minus"), e["__id"].alias("id"), e["__name"].alias("n"), e["__cas"].alias("cas"))))
-    near = scored.select("__k", best.alias("b")).where(F.col("b.score") >= threshold).select("__k", "b.*")
+    scored = rest.withColumn("__own", sparse_vector(F.col("__k"), dims))
+    best = F.array_max(F.transform("__all", lambda e: F.struct(sparse_dot(scored["__own"], e["__v"]).alias("__score"), (-e["__rank"]).alias("__minus"), e["__id"].alias("__id"), e["__name"].alias("__n"), e["__cas"].alias("__cas_number"))))
+    near = scored.select("__k", best.alias("__b")).where(F.col("__b.__score") >= threshold).select("__k", "__b.*")
     both = exact.join(near, F.col("__key") == F.col("__k"), "left")
     own = [c for c in exact.columns if c not in ("__key", "canonical_id", "canonical_name", "cas_number", "match_confidence", "match_method")]
-    hit = F.col("canonical_id").isNull() & F.col("id").isNotNull()
-    return both.select(*own, F.coalesce("canonical_id", "id").alias("canonical_id"), F.coalesce("canonical_name", "n").alias("canonical_name"), F.coalesce("cas_number", "cas").alias("cas_number"), F.coalesce("match_confidence", "score").alias("match_confidence"), F.when(hit, F.lit("embedding")).otherwise(F.col("match_method")).alias("match_method"))
+    hit = F.col("canonical_id").isNull() & F.col("__id").isNotNull()
+    return both.select(*own, F.coalesce("canonical_id", "__id").alias("canonical_id"), F.coalesce("canonical_name", "__n").alias("canonical_name"), F.coalesce("cas_number", "__cas_number").alias("cas_number"), F.coalesce("match_confidence", "__score").alias("match_confidence"), F.when(hit, F.lit("embedding")).otherwise(F.col("match_method")).alias("match_method"))
 
 
 def _ids() -> list[tuple]:

@@ -111,10 +111,25 @@ def get_strategy(name: str) -> Callable[..., DataFrame]:
     return STRATEGIES[own]
 
 
+class Unavailable(RuntimeError):
+    """A strategy was asked for without what it needs."""
+
+
+def strategies(answered: bool = False) -> dict[str, dict[str, bool]]:
+    """What each strategy needs, and whether it can run where answers of a model are there or a model can be asked."""
+    needs = {"rule": False, "ner": False, "llm": True, "hybrid": True}
+    return {name: {"needs_answers": n, "available": answered or not n} for name, n in needs.items()}
+
+
 def extract(blocks: DataFrame, strategy: str, *inputs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Facts of a strategy; documents (paper_id, version) that stored has results of are left out."""
+    """Facts of a strategy; documents (paper_id, version) that stored has results of are left out. llm and hybrid take the
+    answers of a model as their input."""
+    run = get_strategy(strategy)
+    needy = [k for k, f in STRATEGIES.items() if f is run and strategies()[k]["needs_answers"]]
+    if needy and not inputs:
+        raise Unavailable(f"{needy[0]} needs the answers of a model")
     todo = blocks if stored is None else blocks.join(stored.select("paper_id", "version").distinct(), ["paper_id", "version"], "left_anti")
-    return get_strategy(strategy)(todo, *inputs)
+    return run(todo, *inputs)
 
 
 def normalized_precursors(facts: DataFrame, threshold: float = normalize.THRESHOLD) -> DataFrame:
