@@ -619,8 +619,8 @@ def job_state_fold(spark, sf_dir):
 
 # -- retrieval ------------------------------------------------------------------------------------------------------
 
-def chunk_sql(section: str) -> str:
-    """Chunks by a fold over each paper's blocks, a step of the recursion for each block."""
+def chunk_sql(section: str, then: str = "select * exclude (text), sha256(text) as text_hash from chunks") -> str:
+    """Chunks by a fold over each paper's blocks, a step of the recursion for each block; then: a query of chunks."""
     steps = f"""with recursive lines as ({views.DUCK_LINES}), recipe as ({views.RECIPE}), blocks as ({views.BLOCKS.replace("{S}", "varchar")}),
 o as (select paper_id, page, {section} as section, trim(text) as text, string_split_regex(trim(text), '\\s+') as w, row_number() over (partition by paper_id order by block_ordinal) as rn from blocks where trim(text) <> ''),
 f as (select paper_id, rn, 0 as chunk, text, w, section, page as lo, page as hi from o where rn = 1
@@ -628,7 +628,7 @@ f as (select paper_id, rn, 0 as chunk, text, w, section, page as lo, page as hi
     case when not cuts then list_concat(old, w) when crosses then w else list_concat(tail, w) end, case when cuts then section else coalesce(of, section) end, case when cuts then page else least(lo, page) end, case when cuts then page else greatest(hi, page) end
   from (select o.paper_id, o.rn, o.text, o.w, o.section, o.page, f.chunk, f.text as was, f.w as old, f.section as of, f.lo, f.hi, coalesce(f.section <> o.section, false) as crosses,
     coalesce(f.section <> o.section, false) or len(f.w) + len(o.w) > 200 as cuts, f.w[greatest(len(f.w) - 39, 1):len(f.w)] as tail from f join o on o.paper_id = f.paper_id and o.rn = f.rn + 1))"""
-    return f"{steps} select paper_id, chunk as chunk_ordinal, arg_max(section, rn) as section, arg_max(lo, rn) as page_start, arg_max(hi, rn) as page_end, cast(arg_max(len(w), rn) as int) as token_count, sha256(arg_max(text, rn)) as text_hash from f group by paper_id, chunk"
+    return f"{steps}, chunks as (select paper_id, chunk as chunk_ordinal, arg_max(section, rn) as section, arg_max(lo, rn) as page_start, arg_max(hi, rn) as page_end, cast(arg_max(len(w), rn) as int) as token_count, arg_max(text, rn) as text from f group by paper_id, chunk) {then}"
 
 
 def chunked(b: DataFrame) -> DataFrame:
@@ -664,6 +664,23 @@ def cosine_topk_text(spark, sf_dir):
     return retrieval._top(scored, "id", 5).select("query_id", "id", "score")
 
 
+LONG_SECTIONS = "case when page % 5 <> 0 then 'Part ' || (page - page % 8) // 8 end"
+CHUNKS_NEAR = f""", toks as (select paper_id * 100000 + chunk_ordinal as id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9°]+')) as tok from chunks), counted as (select id, tok, count(*) as n from toks group by all),
+parts as (select id, n, {HASHED} from counted), sums as (select id, idx, sum(sign * n) as v from parts group by id, idx having sum(sign * n) <> 0), vecs as (select id, idx, v / sqrt(sum(v * v) over (partition by id)) as w from sums),
+s as (select a.id as query_id, b.id, round(sum(a.w * b.w), 6) as score from vecs a join vecs b on a.idx = b.idx where a.id // 100000 % 100 = 0 group by 1, 2)
+select query_id, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as n from s) where n <= 10 and score > 0.2"""
+
+
+@query(chunk_sql(LONG_SECTIONS, CHUNKS_NEAR))
+def cosine_topk_documents(spark, sf_dir):
+    """The chunks of all documents nearest to each chunk of those whose id is divisible by 100, at a cosine of over 0.2."""
+    section = F.when(F.col("page") % 5 != 0, F.concat(F.lit("Part "), F.expr("(page - page % 8) div 8")))
+    chunks = retrieval.index_document(blocks(spark, sf_dir).withColumn("section", section))
+    v = written(chunks.select((F.col("paper_id") * 100_000 + F.col("chunk_ordinal")).alias("id"), "embedding"), "chunks")
+    near = retrieval.vector_top(v, v.where("id div 100000 % 100 = 0"), 10, digits=6)
+    return near.where("score > 0.2").select("query_id", "id", "score")
+
+
 COS = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double * b.embedding[i]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double))))"
 
 

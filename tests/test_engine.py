@@ -231,7 +231,23 @@ def test_vector_top_in_blocks(spark):
     for most in (1000, 3):
         got = retrieval.vector_top(d, d.where("id < 40"), 4, most_queries=most, digits=6).orderBy("query_id", "rank").collect()
         assert {(q, tuple(r["id"] for r in got if r["query_id"] == q)) for q in {r["query_id"] for r in got}} == want
-    assert retrieval.vector_top(d, d.where("false")).count() == 0
+    assert retrieval.vector_top(d, d.where("false")).count() == 0 and retrieval.vector_top(d.where("false"), d).count() == 0
+
+
+def test_vector_top_of_equal_odd_and_long_vectors(spark, monkeypatch):
+    """A third of the vectors are equal; some are null in part, zero, or of another length; slices and parts are small."""
+    monkeypatch.setattr(retrieval, "PART", 40)
+    v = [(f"e{i:03}", [1.0, 2.0, 3.0]) for i in range(60)] + [(f"r{i:03}", [math.sin(i), math.cos(3 * i), math.sin(5 * i)]) for i in range(120)]
+    odd = [("n", None), ("p", [1.0, None, 3.0]), ("z", [0.0] * 3), ("s", [1.0, 2.0]), (None, [1.0, 2.0, 3.0]), ("e000", [1.0, 2.0, 3.0])]
+    d = spark.createDataFrame(v + odd, "id string, embedding array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((math.hypot(*a) * math.hypot(*b)) or 1)
+    every = [x for x in v + odd if x[0] and x[1] and None not in x[1]]
+    got = retrieval.vector_top(d, d.where("id in ('e005', 'r007', 'z', 's', 'n')"), 7, most_queries=2).collect()
+    for q in ("e005", "r007", "z", "s"):
+        own = dict(every)[q]
+        want = sorted(((-cos(x, own), i) for i, x in every if len(x) == len(own)), key=lambda t: (round(t[0], 12), t[1]))[:7]
+        assert [(r["id"], pytest.approx(r["score"])) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, -s) for s, i in want]
+    assert {r["query_id"] for r in got} == {"e005", "r007", "z", "s"}
 
 
 def test_documents(spark):
