@@ -105,8 +105,14 @@ ANSWER_UNIT_WORDS = {
 
 # Degree signs, and what a number consists of, inside brackets of a pattern.
 DEGREES = "°º"
+NUMERALS = r"0-9+.eE\-"
 NUMBER_SIGNS = r"\d."
 
+# What may stand before a number that isn't exact, and between two numbers.
+VAGUE_SIGNS = ["~", "≈"]
+VAGUE_WORDS = ["ca.", "ca", "approx.", "approx", "about"]
+RANGE_SIGNS = ["-", "–", "—", "to", "or", "and", "/"]
+
 # How sure a model's fact is, with its text found in the document or not.
 LOCATED, UNLOCATED = 0.8, 0.6
 UNLOCATED_TEXT = "Reported by the LLM; no verbatim match was found in the document text."

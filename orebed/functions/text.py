@@ -66,9 +66,13 @@ def word_count(text: Column) -> Column:
     return F.when(strip(text) == "", F.lit(0)).otherwise(F.size(F.split(strip(text), r"(?U)\s+")))
 
 
+# Fixed value: what a token of an embedding consists of.
+TOKEN = r"[A-Za-z0-9\x{B0}]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters, digits and the degree sign."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[A-Za-z0-9\x{B0}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def sha256(text: Column) -> Column:
