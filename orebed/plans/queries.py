@@ -108,7 +108,16 @@ def section_tagging(spark, sf_dir):
     return documents.assign_sections(b, s).select("paper_id", "block_ordinal", "section")
 
 
-@query()
+TAGS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "title"]
+HTML_BLOCK = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in TAGS)
+
+
+@query(
+    rf"""with bare as (select page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') as html from pages),
+found as (select page_id, regexp_extract_all(html, '{HTML_BLOCK}') as raws from bare), rows_ as (select page_id, unnest(raws) as raw, generate_subscripts(raws, 1) - 1 as n from found),
+texts as (select page_id, n, raw, trim(regexp_replace(regexp_replace(raw, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as text from rows_)
+select cast(page_id as varchar) as paper_id, cast(n as int) as block_ordinal, case when regexp_matches(raw, '(?i)^<(h[1-6]|title)') then 'heading' else 'paragraph' end as block_type, text from texts where text <> ''"""
+)
 def html_to_blocks(spark, sf_dir):
     return readers.html_blocks(table(spark, sf_dir, "pages"))
 
