@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,5 +38,8 @@ def _remove(path: str) -> None:
     jvm = spark.sparkContext._jvm if spark is not None else None
     if jvm is None:  # the session has ended; the folder is scratch
         return
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except (Py4JError, OSError):  # the JVM has ended
+        pass
