@@ -167,8 +167,12 @@ def run_experiment(predictions: dict[str, Parts], gold: Parts) -> tuple[DataFram
 
 def tracked_experiment(run_id: str, config: DataFrame, predictions: dict[str, Parts], gold: Parts) -> DataFrame:
     """An experiment as a long table of its run, with the configuration (one row) as parameters. Papers count once,
-    whatever the number of extractors. The reports of the papers are written first: counts and measures read them."""
-    reports = written(run_experiment(predictions, gold)[1], "reports")
+    whatever the number of extractors. The reports of the papers are written first, one extractor's at a time, so that no plan
+    holds more than one comparison with gold; counts and measures read them."""
+    reports = None
+    for name, parts in predictions.items():
+        one = written(run_experiment({name: parts}, gold)[1], "reports")
+        reports = one if reports is None else reports.unionByName(one)
     papers = None
     for p, _, _ in predictions.values():
         papers = p.select("paper_id") if papers is None else papers.union(p.select("paper_id"))
