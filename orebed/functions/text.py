@@ -31,13 +31,17 @@ def running(sizes: Column, start: Column, stride: int = 256) -> Column:
     return let(F.struct(sizes.alias("sizes"), start.cast("int").alias("start")), of)
 
 
+def parted(text: Column, pattern: str) -> Column:
+    """What stands before the first match, then for each match an element: it, CLOSES, and what follows up to the next."""
+    held = F.contains(text, F.lit(OPENS)) | F.contains(text, F.lit(CLOSES))
+    bare = F.when(held, F.translate(text, OPENS + CLOSES, "\ufffd\ufffd")).otherwise(text)
+    return F.split(F.regexp_replace(bare, F.lit(pattern), F.lit(f"{OPENS}$0{CLOSES}")), OPENS, -1)
+
+
 def spans(text: Column, pattern: str, groups: int = 2) -> Column:
     """All matches, left to right: array of text, start, end (code points, end exclusive) and g1, g2, ... The text is gone
     through once, for matches; their marks part it, and groups are taken from the matches alone, which match by
     themselves too."""
-    held = F.contains(text, F.lit(OPENS)) | F.contains(text, F.lit(CLOSES))
-    bare = F.when(held, F.translate(text, OPENS + CLOSES, "\ufffd\ufffd")).otherwise(text)
-    parts = F.split(F.regexp_replace(bare, F.lit(pattern), F.lit(f"{OPENS}$0{CLOSES}")), OPENS, -1)
 
     def every(p: Column) -> Column:
         rest = F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))  # a match, its mark, what follows it
@@ -49,7 +53,7 @@ def spans(text: Column, pattern: str, groups: int = 2) -> Column:
 
         return F.when(F.size(p) > 1, let(starts, lambda at: F.transform(rest, lambda x, i: one(x, i, at)))).otherwise(F.transform(F.slice(p, 1, 0), lambda x: one(x, F.lit(0), F.array(F.lit(0)))))
 
-    return let(parts, every)
+    return let(parted(text, pattern), every)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

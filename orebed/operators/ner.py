@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import TERMS, look_up
-from ..functions.text import let, spans
+from ..functions.text import CLOSES, let, parted, running, spans
 from .rules import BLOCK, matches
 
 MAX_DISTANCE = 60
@@ -81,13 +81,29 @@ def dictionary_entities(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
         firsts, terms = F.broadcast(firsts), F.broadcast(terms)
 
     where = [*BLOCK, "page", "section"]
-    words = blocks.where(F.length("text") > 0).select(*where, "text", spans(F.col("text"), WORD, 0).alias("ws"))
-    places = words.select(*where, "text", "ws", F.posexplode("ws.text").alias("i", "w")).withColumn("first", F.xxhash64(F.lower("w")))
-    looked = places.join(firsts, "first").select(*where, "text", "ws", "i", F.explode("sizes").alias("n")).where(F.col("i") + F.col("n") <= F.size("ws"))
-    start, end = F.element_at("ws", F.col("i") + 1)["start"], F.element_at("ws", F.col("i") + F.col("n"))["end"]
-    cut = lambda a, b: F.substring("text", a + 1, b - a)
-    beside = F.greatest(start - EDGE - 1, F.lit(0))
-    rows = looked.select(*where, start.alias("a"), end.alias("b"), cut(start, end).alias("said"), cut(beside, start).alias("before"), cut(end, end + EDGE + 1).alias("after"))
+    longest = d.agg(F.max("words")).first()[0] or 1
+
+    def places(p: Column) -> Column:
+        """Of each word of a block: where it starts, the characters before, and as many words on (with what follows each) as
+        a term has and one more. No row has more of the block."""
+        rest = F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))
+        own = F.transform(rest, lambda x: F.struct(F.substring_index(x, CLOSES, 1).alias("w"), F.substring_index(x, CLOSES, -1).alias("gap")))
+        starts = running(F.transform(rest, lambda x: F.char_length(x) - 1), F.char_length(F.element_at(p, 1)))
+
+        def one(y: Column, i: Column) -> Column:
+            x = F.element_at(y["own"], F.greatest(i, F.lit(1)))
+            last = F.when(i > 0, F.concat(x["w"], x["gap"])).otherwise(F.element_at(p, 1))
+            return F.struct(F.element_at(y["starts"], i + 1).alias("start"), F.right(last, F.lit(EDGE + 1)).alias("before"), F.slice(y["own"], i + 1, longest + 1).alias("next"))
+
+        return let(F.struct(own.alias("own"), starts.alias("starts")), lambda y: F.transform(F.sequence(F.lit(0), F.size(y["own"]) - 1), lambda i: one(y, i)))
+
+    each = let(parted(F.col("text"), WORD), lambda p: F.when(F.size(p) > 1, places(p)))
+    rows = blocks.where(F.length("text") > 0).select(*where, F.explode(each).alias("x")).select(*where, "x.*").withColumn("first", F.xxhash64(F.lower(F.col("next")[0]["w"])))
+    rows = rows.join(firsts, "first").select(*where, "start", "before", "next", F.explode("sizes").alias("n")).where(F.col("n") <= F.size("next"))
+    said = F.array_join(F.transform(F.slice("next", F.lit(1), F.col("n")), lambda x, j: F.when(j < F.col("n") - 1, F.concat(x["w"], x["gap"])).otherwise(x["w"])), "")
+    after = F.concat(F.element_at("next", F.col("n"))["gap"], F.coalesce(F.get("next", F.col("n"))["w"], F.lit("")))
+    rows = rows.select(*where, F.col("start").alias("a"), said.alias("said"), "before", F.left(after, F.lit(EDGE + 1)).alias("after"))
+    rows = rows.withColumn("b", F.col("a") + F.char_length("said"))
     rows = rows.withColumn("core_hash", F.xxhash64(F.lower("said")))
     met = rows.join(terms, "core_hash").where(F.lower("said") == F.col("core"))
     lead, trail = F.char_length("lead"), F.char_length("trail")
