@@ -155,15 +155,22 @@ def model_entities(text: Column, model: Callable[[], Callable[[str], list[dict]]
     return run(text)
 
 
-def mentions(blocks: DataFrame, terms: dict[str, list[str]] = TERMS, model: Callable[[Column], Column] | None = None) -> DataFrame:
+def mentions(blocks: DataFrame, terms: dict[str, list[str]] = TERMS, model: Callable[[Column], Column] | None = None, labels: list[str] | None = None, since: str | None = None) -> DataFrame:
     """A row for each entity of each block, precursors with their nearest concentration and mass; quantities are sought
     only in blocks with an entity, within the row. model: a function from the text column to entities in place of the
-    vocabulary (entities, greedy_entities or model_entities)."""
+    vocabulary (entities, greedy_entities or model_entities). labels: those wanted, among the entities that all labels
+    give. since: a column of blocks, the first place that counts (null: none)."""
     found = model(F.col("text")) if model else entities(F.col("text"), terms)
-    quantities = F.struct(matches(F.col("text"), "concentration").alias("c"), matches(F.col("text"), "mass").alias("m"))
+    counts = lambda x: F.lit(True) if since is None else x["start"] >= F.col(since)
+    if labels is not None or since is not None:
+        found = F.filter(found, lambda e: counts(e) & (e["label"].isin(labels) if labels is not None else F.lit(True)))
+    of = lambda kind: matches(F.col("text"), kind) if since is None else F.filter(matches(F.col("text"), kind), counts)
+    linking = labels is None or "PRECURSOR" in labels
+    quantities = F.struct(of("concentration").alias("c"), of("mass").alias("m")) if linking else F.lit(0)
+    unlinked = F.lit(None).cast("struct<distance:int,start:int,value:double,unit:string,text:string,end:int>")
 
     def linked(e: Column, q: Column) -> Column:
-        link = lambda kind: F.when(e["label"] == "PRECURSOR", nearest(e, q[kind]))
+        link = lambda kind: F.when(e["label"] == "PRECURSOR", nearest(e, q[kind])) if linking else unlinked
         return F.struct(e.alias("e"), link("c").alias("concentration"), link("m").alias("amount"))
 
     # one expression: as columns, the optimizer would compute entities once for each use
@@ -182,6 +189,10 @@ def first_mentions(mention_rows: DataFrame) -> DataFrame:
     return first.withColumn("item_idx", F.row_number().over(order) - 1)
 
 
+#: Which label a fact's key is of.
+KEYS = {"precursors.name": "PRECURSOR", "precursors.concentration": "PRECURSOR", "precursors.amount": "PRECURSOR", "characterization.technique": "CHARACTERIZATION", "solvent": "SOLVENT", "material.name": "MATERIAL"}
+
+
 def facts(first_rows: DataFrame, extractor_version: str = "ner@1") -> DataFrame:
     """Facts of first_mentions: names with confidence 1.0, linked quantities with 0.85."""
     many = F.col("label").isin("PRECURSOR", "CHARACTERIZATION")

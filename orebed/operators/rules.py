@@ -24,12 +24,13 @@ def matches(text: Column, rule: str) -> Column:
     return F.when(text.rlike(r"(?U)\d"), F.filter(known, lambda m: m["unit"].isNotNull())).otherwise(F.filter(known, lambda m: F.lit(False)))
 
 
-def facts(blocks: DataFrame, extractor_version: str = "rule@1", only: list[str] | None = None) -> DataFrame:
+def facts(blocks: DataFrame, extractor_version: str = "rule@1", only: list[str] | None = None, since: str | None = None) -> DataFrame:
     """A row for each match of each rule (or of those in only) in each block with text, without a shuffle. fact_ord: place among the document's
-    facts is (block_ordinal, rule_ord, char_start)."""
+    facts is (block_ordinal, rule_ord, char_start). since: a column of blocks, the first place whose matches count (null: none)."""
     kinds = [(i, name) for i, (name, _, _) in enumerate(RULES) if only is None or name in only]
     one = lambda i, n: F.transform(matches(F.col("text"), n), lambda m: F.struct(F.lit(n).alias("field"), F.lit(i).alias("rule_ord"), m["value"].alias("value_num"), m["unit"].alias("value_unit"), m["text"].alias("evidence_text"), m["start"].alias("char_start"), m["end"].alias("char_end"), m["confidence"].alias("confidence")))
     every = F.concat(*[one(i, n) for i, n in kinds])
+    every = every if since is None else F.filter(every, lambda f: f["char_start"] >= F.col(since))
     rows = blocks.where(F.length("text") > 0).select(*BLOCK, "page", "section", F.explode(every).alias("f"))
     return rows.select(*BLOCK, "page", "section", "f.*", F.lit("RULE").alias("source"), F.lit(extractor_version).alias("extractor_version"))
 

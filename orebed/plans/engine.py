@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -76,29 +77,38 @@ def _long(facts: DataFrame) -> DataFrame:
     return out.withColumn("fact_ord", F.col("fact_ord").cast("long") if "fact_ord" in facts.columns else place).select(FACT)
 
 
-def rule_facts(blocks: DataFrame, only: list[str] | None = None) -> DataFrame:
-    return _long(rules.facts(blocks, only=only))
+def rule_facts(blocks: DataFrame, only: list[str] | None = None, since: str | None = None) -> DataFrame:
+    return _long(rules.facts(blocks, only=only, since=since))
 
 
-def ner_facts(blocks: DataFrame) -> DataFrame:
-    return _long(ner.facts(ner.first_mentions(ner.mentions(blocks))))
+def ner_facts(blocks: DataFrame, keys: list[str] | None = None, since: str | None = None) -> DataFrame:
+    labels = None if keys is None else sorted({ner.KEYS[k] for k in keys if k in ner.KEYS})
+    found = _long(ner.facts(ner.first_mentions(ner.mentions(blocks, labels=labels, since=since))))
+    return found if keys is None else found.where(F.col("field_key").isin(keys))
 
 
-def llm_facts(blocks: DataFrame, model_answers: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
+def llm_facts(blocks: DataFrame, model_answers: DataFrame, predicted: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """model_answers: paper_id, version, raw_text and, if known, extractor_version; predicted: what answers.predictions has
-    made of them already."""
+    made of them already; keys: of which facts evidence is sought (others are left out)."""
     version = "extractor_version" if "extractor_version" in model_answers.columns else None
     found = answers.facts(answers.predictions(answers.parse(model_answers)) if predicted is None else predicted)
+    found = found if keys is None else found.where(F.col("field_key").isin(keys))
     located = answers.locate(found, blocks, None if version else F.lit("llm@recorded"))
     if version:
         located = located.join(model_answers.select("paper_id", "version", version).distinct(), ["paper_id", "version"])
     return _long(located)
 
 
-def hybrid_facts(blocks: DataFrame, model_answers: DataFrame | None = None, only: list[str] | None = None, predicted: DataFrame | None = None) -> DataFrame:
-    """The facts of all sources (of rules, those in only); fusion.fuse_scalars and fuse_precursors choose among them."""
-    both = rule_facts(blocks, only).unionByName(ner_facts(blocks))
-    return both if model_answers is None else both.unionByName(llm_facts(blocks, model_answers, predicted))
+def hybrid_facts(blocks: DataFrame, model_answers: DataFrame | None = None, only: list[str] | None = None, predicted: DataFrame | None = None, keys: list[str] | None = None, since: str | None = None) -> DataFrame:
+    """The facts of all sources (of rules, those in only); fusion.fuse_scalars and fuse_precursors choose among them. keys: the
+    field_key that are wanted; what gives others alone isn't computed. since: see rules.facts and ner.mentions."""
+    ruled = [n for n, _, _ in rules.RULES if (only is None or n in only) and (keys is None or n in keys)]
+    found = [rule_facts(blocks, ruled, since)] if ruled else []
+    if keys is None or any(k in ner.KEYS for k in keys):
+        found.append(ner_facts(blocks, keys, since))
+    if model_answers is not None:
+        found.append(llm_facts(blocks, model_answers, predicted, keys))
+    return reduce(DataFrame.unionByName, found)
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"rule": rule_facts, "ner": ner_facts, "llm": llm_facts, "hybrid": hybrid_facts}

@@ -26,6 +26,9 @@ BLOCKS = f"""select doc_id as paper_id, 1 as version, cast(ord as int) as block_
     || cast(1 + r % 12 as {{S}}) || ' h to give ' || {MATERIAL} || '. ' || {TECHNIQUE} || ' was used.' else line end as text
   from recipe"""
 
+#: The same with the place where the recipe sentence starts; what a document itself says before it isn't of the recipe.
+STATED = BLOCKS.replace(" as text\n  from recipe", " as text, case when injected then char_length(line) + 1 end as said_at\n  from recipe")
+
 #: The first recipe sentence of each document, and what it says.
 FIRSTS = f"""select doc_id, min(ord) as ord from recipe where injected group by doc_id"""
 SAID = f"""select f.doc_id, f.ord, x.r, {PRECURSOR.replace('r %', 'x.r %')} as precursor, {SECOND.replace('r %', 'x.r %')} as second, {SOLVENT.replace('r %', 'x.r %')} as solvent,
@@ -33,6 +36,10 @@ SAID = f"""select f.doc_id, f.ord, x.r, {PRECURSOR.replace('r %', 'x.r %')} as p
   cast(1 + x.r % 50 as double) as conc, cast(5 + x.r % 95 as double) as mass
   from firsts f join recipe x on x.doc_id = f.doc_id and x.ord = f.ord"""
 
+#: The same without a second pass over the documents: a line's r follows from its number.
+SAID_ONCE = SAID.split("from firsts")[0] + "from (select doc_id, ord, (doc_id * 31 + ord * 17) % 997 as r from firsts) x"
+SAID_ONCE = SAID_ONCE.replace("f.doc_id, f.ord", "x.doc_id, x.ord")
+
 #: Gold for labelled documents: kelvin for every fourth, 5 more for every seventh, minutes for every sixth, no solvent for every fifth.
 GOLD = """select doc_id as paper_id, (temp + case when doc_id % 7 = 0 then 5 else 0 end) + case when doc_id % 4 = 0 then 273.15 else 0 end as temp_value,
   case when doc_id % 4 = 0 then 'K' else 'C' end as temp_unit, hours * case when doc_id % 6 = 0 then 60 else 1 end as time_value,
@@ -57,9 +64,10 @@ def duck(query: str, *more: tuple[str, str]) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; only what it needs of the tables is read."""
-    needed = [n for n, _ in CTES[: [n for n, _ in CTES].index(name) + 1] if n != "gold" or name == "gold"]
+    every = [*((n, SAID_ONCE if n == "said" else b) for n, b in CTES), ("stated", STATED)]
+    needed = [n for n, _ in every[: [n for n, _ in every].index(name) + 1] if n != "gold" or name == "gold"]
     tables = {"documents": "documents", **({"labels": "labels"} if name == "gold" else {})}
-    parts = [("lines", SPARK_LINES)] + [(n, b.replace("{S}", "string")) for n, b in CTES if n in needed]
+    parts = [("lines", SPARK_LINES)] + [(n, b.replace("{S}", "string")) for n, b in every if n in needed]
     text = "with " + ", ".join(f"{n} as ({b})" for n, b in parts) + f" select * from {name}"
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     for t in frames:
