@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,45 @@ WORD = r"[\p{L}\p{N}]+"
 EDGE = 8
 #: Terms of a dictionary that are sent to all executors; a larger one is joined by shuffle.
 MOST_BROADCAST = 1_000_000
+#: Slots of first_marks, at most; with more first words than that some words pass that no term begins with.
+MOST_SLOTS = 1 << 18
+
+
+def first_marks(terms: DataFrame) -> bytes:
+    """For each slot a byte, 1 if the hash of a first word (column first) falls into it: 16 slots or more for each word, and
+    MOST_SLOTS at most, so that it can stand in a plan."""
+    n = terms.agg(F.count_distinct("first")).first()[0]
+    slots = min(MOST_SLOTS, 1 << (16 * n).bit_length())
+    part = 1 << 15  # bits of a bitmap
+    slot = F.pmod("first", F.lit(slots))
+    maps = terms.groupBy(F.floor(slot / part).alias("k")).agg(F.bitmap_construct_agg(slot % part).alias("bits")).collect()
+    out = np.zeros(max(slots, part), np.uint8)
+    for m in maps:
+        out[m["k"] * part : (m["k"] + 1) * part] = np.unpackbits(np.frombuffer(m["bits"], np.uint8), bitorder="little")
+    return out[:slots].tobytes()
+
+
+def places(text: Column, marks: bytes, longest: int) -> Column:
+    """Of each word of a text that falls into a marked slot: where it starts, the characters before, and as many words on as a
+    term has and one more, each with CLOSES and what follows it; null without any. The other words are hashed and left."""
+    slot = lambda x: F.pmod(F.xxhash64(F.lower(F.substring_index(x, CLOSES, 1))), F.lit(len(marks))).cast("int")
+    marked = lambda x: F.substring(F.lit(marks), slot(x) + 1, F.lit(1)) == F.lit(b"\x01")
+
+    def every(p: Column) -> Column:
+        at = F.filter(F.transform(p, lambda x, i: F.when((i > 0) & marked(x), i)), lambda i: i.isNotNull())
+
+        def since(i: Column, last: Column) -> Column:
+            """The text from the place before, or the beginning, up to this one."""
+            return F.replace(F.array_join(F.slice(p, last + 1, i - last), ""), F.lit(CLOSES), F.lit(""))
+
+        def of(k: Column) -> Column:
+            between = F.transform(k, lambda i, j: since(i, F.coalesce(F.get(k, j - 1), F.lit(0))))
+            one = lambda i, j, b, s: F.struct(F.element_at(s, j + 2).alias("start"), F.right(F.element_at(b, j + 1), F.lit(EDGE + 1)).alias("before"), F.array_join(F.slice(p, i + 1, longest + 1), "").alias("next"))
+            return let(between, lambda b: let(running(F.transform(b, lambda x: F.char_length(x)), F.lit(0)), lambda s: F.transform(k, lambda i, j: one(i, j, b, s))))
+
+        return let(at, lambda k: F.when(F.size(k) > 0, of(k)))
+
+    return let(parted(text, WORD), every)
 
 
 def dictionary_entities(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -61,10 +101,10 @@ def dictionary_entities(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
     and label. dictionary: term, label, ord (of terms of one length the smaller goes first).
 
     A term that is found begins and ends between words, so it is a row of whole words with what parts them. First words
-    that terms have (with the numbers of words of those) pick the places worth a look; there the words from the place on
-    are met with the terms of that many words by their hash, and compared. Both tables go to all executors if they are
-    small enough (they are counted), else rows of a few words are shuffled. Of a block's hits, longest terms first, each
-    takes its place if that is free.
+    that terms have pick the places worth a look, within the block's row (see places), so that other words never become
+    rows; there as many words on as the terms of that first word have are met with terms by their hash, and compared. Both
+    tables go to all executors if they are small enough (they are counted), else rows of a few words are shuffled. Of a
+    block's hits, longest terms first, each takes its place if that is free.
 
     Terms without a letter or digit, or with over EDGE signs at an end, aren't found. Case plays no part. Blocks without
     text or hits have no rows; null terms none either; repeated terms have the label of the smallest ord."""
@@ -83,26 +123,13 @@ def dictionary_entities(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
     where = [*BLOCK, "page", "section"]
     longest = d.agg(F.max("words")).first()[0] or 1
 
-    def places(p: Column) -> Column:
-        """Of each word of a block: where it starts, the characters before, and as many words on (with what follows each) as
-        a term has and one more. No row has more of the block."""
-        rest = F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))
-        own = F.transform(rest, lambda x: F.struct(F.substring_index(x, CLOSES, 1).alias("w"), F.substring_index(x, CLOSES, -1).alias("gap")))
-        starts = running(F.transform(rest, lambda x: F.char_length(x) - 1), F.char_length(F.element_at(p, 1)))
-
-        def one(y: Column, i: Column) -> Column:
-            x = F.element_at(y["own"], F.greatest(i, F.lit(1)))
-            last = F.when(i > 0, F.concat(x["w"], x["gap"])).otherwise(F.element_at(p, 1))
-            return F.struct(F.element_at(y["starts"], i + 1).alias("start"), F.right(last, F.lit(EDGE + 1)).alias("before"), F.slice(y["own"], i + 1, longest + 1).alias("next"))
-
-        return let(F.struct(own.alias("own"), starts.alias("starts")), lambda y: F.transform(F.sequence(F.lit(0), F.size(y["own"]) - 1), lambda i: one(y, i)))
-
-    each = let(parted(F.col("text"), WORD), lambda p: F.when(F.size(p) > 1, places(p)))
-    rows = blocks.where(F.length("text") > 0).select(*where, F.explode(each).alias("x")).select(*where, "x.*").withColumn("first", F.xxhash64(F.lower(F.col("next")[0]["w"])))
-    rows = rows.join(firsts, "first").select(*where, "start", "before", "next", F.explode("sizes").alias("n")).where(F.col("n") <= F.size("next"))
-    said = F.array_join(F.transform(F.slice("next", F.lit(1), F.col("n")), lambda x, j: F.when(j < F.col("n") - 1, F.concat(x["w"], x["gap"])).otherwise(x["w"])), "")
-    after = F.concat(F.element_at("next", F.col("n"))["gap"], F.coalesce(F.get("next", F.col("n"))["w"], F.lit("")))
-    rows = rows.select(*where, F.col("start").alias("a"), said.alias("said"), "before", F.left(after, F.lit(EDGE + 1)).alias("after"))
+    found = places(F.col("text"), first_marks(d), longest)
+    rows = blocks.where(F.length("text") > 0).select(*where, F.explode(found).alias("x")).select(*where, "x.*").withColumn("first", F.xxhash64(F.lower(F.substring_index("next", CLOSES, 1))))
+    bare = lambda x: F.replace(x, F.lit(CLOSES), F.lit(""))
+    rows = rows.join(firsts, "first").select(*where, "start", "before", "next", F.explode("sizes").alias("n")).where(F.col("n") <= F.char_length("next") - F.char_length(bare(F.col("next"))))
+    rows = rows.withColumn("head", F.call_function("substring_index", "next", F.lit(CLOSES), "n"))
+    after = bare(F.substring("next", F.char_length("head") + 1, F.lit(1 << 30)))
+    rows = rows.select(*where, F.col("start").alias("a"), bare(F.col("head")).alias("said"), "before", F.left(after, F.lit(EDGE + 1)).alias("after"))
     rows = rows.withColumn("b", F.col("a") + F.char_length("said"))
     rows = rows.withColumn("core_hash", F.xxhash64(F.lower("said")))
     met = rows.join(terms, "core_hash").where(F.lower("said") == F.col("core"))
