@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import aliases, entities, normalize_name
 from ..functions.text import hashed_index, hashed_sign, tokens
+from ..sources.tables import written
 
 DOC = ["paper_id", "version"]
 THRESHOLD = 0.6
@@ -30,12 +31,14 @@ def sparse_dot(a: Column, b: Column) -> Column:
 def match_names(names: DataFrame, name: str = "name", threshold: float = THRESHOLD, fallback: bool = True, dims: int = 256) -> DataFrame:
     """names with canonical_id, canonical_name, cas_number, match_confidence, match_method: by alias (1.0), else by the
     cosine of hashed tokens with the canonical names, the first of equals, from threshold up. The entity table has a
-    fixed size and is broadcast; only distinct names without an alias are compared with it."""
+    fixed size and is broadcast; only distinct names without an alias are compared with it. With the fallback, names are
+    read twice; so they are written first, and what they come from is computed once."""
     spark = names.sparkSession
     exact = names.withColumn("__key", normalize_name(F.col(name))).join(F.broadcast(aliases(spark)), F.col("__key") == F.col("alias"), "left")
     exact = exact.withColumn("match_confidence", F.when(F.col("canonical_id").isNotNull(), F.lit(1.0))).withColumn("match_method", F.when(F.col("canonical_id").isNotNull(), F.lit("exact_alias"))).drop("alias")
     if not fallback:
         return exact.drop("__key")
+    exact = written(exact, "names")
     vectors = entities(spark).select(F.col("canonical_id").alias("__id"), F.col("canonical_name").alias("__name"), F.col("cas_number").alias("__cas"), sparse_vector(F.col("canonical_name"), dims).alias("__v"))
     order = {e[0]: i for i, e in enumerate(_ids())}
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("__id"))

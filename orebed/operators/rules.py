@@ -21,7 +21,8 @@ def matches(text: Column, rule: str) -> Column:
         lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), m["g1"].cast("double").alias("value"), look_up(UNITS[rule], F.lower(F.trim(m["g2"]))).alias("unit"), F.lit(confidence).alias("confidence")),
     )
     # most blocks hold no digit: the cheap test first
-    return F.when(text.rlike(r"(?U)\d"), F.filter(known, lambda m: m["unit"].isNotNull())).otherwise(F.filter(known, lambda m: F.lit(False)))
+    none = F.array().cast("array<struct<text:string,start:int,end:int,value:double,unit:string,confidence:double>>")
+    return F.when(text.rlike(r"(?U)\d"), F.filter(known, lambda m: m["unit"].isNotNull())).otherwise(F.when(text.isNotNull(), none))
 
 
 def facts(blocks: DataFrame, extractor_version: str = "rule@1", only: list[str] | None = None, since: str | None = None) -> DataFrame:

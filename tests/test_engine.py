@@ -166,6 +166,19 @@ def test_normalization(spark):
     assert normalize.cas_links(normalize.match_names(rows)).first()["cas_number"] == "7761-88-8"
 
 
+def test_names_are_computed_once(spark):
+    """The fallback reads them a second time; what they come from may be dear."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def said(name):
+        seen.add(1)
+        return name
+
+    rows = spark.createDataFrame([("AgNO3",), ("odd",), ("silver nitrate powder",)], "name string").select(F.udf(said, "string").asNondeterministic()("name").alias("name"))
+    got = normalize.match_names(rows).collect()
+    assert seen.value == 3 and {(r["name"], r["match_method"]) for r in got} == {("AgNO3", "exact_alias"), ("odd", None), ("silver nitrate powder", "embedding")}
+
+
 def equal(spark, a, ua, b, ub):
     return spark.range(1).select(evaluation.quantities_equal(F.lit(a).cast("double"), F.lit(ua).cast("string"), F.lit(b).cast("double"), F.lit(ub).cast("string"))).first()[0]
 
