@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import TERMS, look_up
 from ..functions.text import CLOSES, let, parted, running, spans
-from .rules import BLOCK, matches
+from .rules import BLOCK, amounts
 
 MAX_DISTANCE = 60
 
@@ -191,9 +191,10 @@ def mentions(blocks: DataFrame, terms: dict[str, list[str]] = TERMS, model: Call
     counts = lambda x: F.lit(True) if since is None else x["start"] >= F.col(since)
     if labels is not None or since is not None:
         found = F.filter(found, lambda e: counts(e) & (e["label"].isin(labels) if labels is not None else F.lit(True)))
-    of = lambda kind: matches(F.col("text"), kind) if since is None else F.filter(matches(F.col("text"), kind), counts)
     linking = labels is None or "PRECURSOR" in labels
-    quantities = F.struct(of("concentration").alias("c"), of("mass").alias("m")) if linking else F.lit(0)
+    quantities = amounts(F.col("text")) if linking else F.lit(0)
+    if linking and since is not None:
+        quantities = let(quantities, lambda q: F.struct(F.filter(q["c"], counts).alias("c"), F.filter(q["m"], counts).alias("m")))
     unlinked = F.lit(None).cast("struct<distance:int,start:int,value:double,unit:string,text:string,end:int>")
 
     def linked(e: Column, q: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import RULES, UNITS, look_up
-from ..functions.text import FLAGS, spans
+from ..functions.text import FLAGS, let, spans
 
 #: Columns that name a block.
 BLOCK = ["paper_id", "version", "block_ordinal"]
@@ -25,6 +25,29 @@ def matches(text: Column, rule: str) -> Column:
     return F.when(text.rlike(r"(?U)\d"), F.filter(known, lambda m: m["unit"].isNotNull())).otherwise(F.when(text.isNotNull(), none))
 
 
+def amounts(text: Column) -> Column:
+    """What matches gives for concentration and for mass, as {c, m}, in one pass. No match of one lies across one of the
+    other: a unit holds no digit and stands right after its number, and no spelling is of both kinds."""
+    parts = {n: (p, c) for n, p, c in RULES}
+    number, of_c = _split(parts["concentration"][0])
+    same, of_m = _split(parts["mass"][0])
+    assert number == same
+    found = spans(text, f"{FLAGS}{number}(?:{of_c}|{of_m})", 3)
+
+    def of(x: Column, kind: str, group: str) -> Column:
+        own = F.filter(x, lambda m: m[group] != "")
+        known = F.transform(own, lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), m["g1"].cast("double").alias("value"), look_up(UNITS[kind], F.lower(F.trim(m[group]))).alias("unit"), F.lit(parts[kind][1]).alias("confidence")))
+        return F.filter(known, lambda m: m["unit"].isNotNull())
+
+    return let(found, lambda x: F.struct(of(x, "concentration", "g2").alias("c"), of(x, "mass", "g3").alias("m")))
+
+
+def _split(pattern: str) -> tuple[str, str]:
+    """The number of a rule with the white space behind it, and its unit."""
+    at = pattern.index(r"\s*") + 3
+    return pattern[:at], pattern[at:]
+
+
 def facts(blocks: DataFrame, extractor_version: str = "rule@1", only: list[str] | None = None, since: str | None = None) -> DataFrame:
     """A row for each match of each rule (or of those in only) in each block with text, without a shuffle. fact_ord: place among the document's
     facts is (block_ordinal, rule_ord, char_start). since: a column of blocks, the first place whose matches count (null: none)."""

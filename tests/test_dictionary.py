@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orebed.functions.tables import TERMS
 from orebed.functions.text import CLOSES, running, spans
-from orebed.operators import ner
+from orebed.operators import ner, rules
 
 BLOCK = "paper_id string, version int, block_ordinal int, page int, section string, text string"
 SAID = [
@@ -100,3 +100,15 @@ def test_only_first_words_of_terms_become_places(spark):
     got = spark.createDataFrame([(text,), ("water",), ("",), (None,)], "text string").select(ner.places(F.col("text"), marks, 2).alias("p")).collect()
     assert [(x["start"], x["before"], x["next"].split(CLOSES)) for x in got[0]["p"]] == [(18001, "er water ("[-9:], ["Silver", "  nitrate", ", DI", ""]), (18018, " nitrate, "[-9:], ["DI", ""])]
     assert [r["p"] for r in got[1:]] == [None] * 3
+
+
+def test_amounts_in_one_pass(spark):
+    """Concentrations and masses found together are those that each rule finds by itself."""
+    rng = np.random.default_rng(5)
+    parts = ["1", "2.5", "10", ".", "-", " ", "  ", "mg", "g", "kg", "ug", "µg", "mM", "M", "nM", "wt%", "mg/mL", "mg/L", "mg /L", "m", "\u00b5M", "mL", "é", "s", "K", ",", "7"]
+    said = ["".join(rng.choice(parts) for _ in range(40)) for _ in range(400)] + ["", "none", "5 mg of AgNO3 (10 mM) and 3 mg/mL, 4 g/L", None]
+    rows = spark.createDataFrame([(t,) for t in said], "text string")
+    kinds = {"c": "concentration", "m": "mass"}
+    got = rows.select(rules.amounts(F.col("text")).alias("q"), *[rules.matches(F.col("text"), k).alias(n) for n, k in kinds.items()]).collect()
+    assert all((r["q"][n] or []) == (r[n] or []) for r in got for n in kinds)
+    assert sum(len(r["c"] or []) for r in got) > 50 and sum(len(r["m"] or []) for r in got) > 50
