@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import CANONICAL
+from ..functions.tables import CANONICAL, look_up
 
 SCALARS = ["solvent", "synthesis_method", "material.name", "temperature", "reaction_time", "pH"]
 
 
 def dimension(unit: Column) -> Column:
-    out = F.when(unit.isin("C", "K", "F"), F.lit("temperature"))
-    for name in ("time", "concentration", "mass", "volume"):
-        out = out.when(unit.isin(*[u for u, d, _ in CANONICAL if d == name]), F.lit(name))
-    return out
+    return F.when(unit.isin("C", "K", "F"), F.lit("temperature")).otherwise(look_up({u: d for u, d, _ in CANONICAL}, unit))
 
 
 def to_canonical(value: Column, unit: Column) -> Column:
     """The value in kelvin, seconds, molar, grams or litres; null for other units."""
     out = F.when(unit == "C", value + 273.15).when(unit == "K", value).when(unit == "F", (value - 32) * 5 / 9 + 273.15)
-    for name, _, factor in CANONICAL:
-        out = out.when(unit == name, value * factor)
-    return out
+    return out.otherwise(value * look_up({u: repr(f) for u, _, f in CANONICAL}, unit).cast("double"))
 
 
 def quantities_equal(value_a: Column, unit_a: Column, value_b: Column, unit_b: Column, relative: float = 1e-3, absolute: float = 1e-9) -> Column:
@@ -36,20 +31,23 @@ def status(pred_present: Column, gold_present: Column, equal: Column) -> Column:
     return F.when(~pred_present & ~gold_present, "both_absent").when(~gold_present, "spurious").when(~pred_present, "missing").when(equal, "correct").otherwise("incorrect")
 
 
-def _long(rows: DataFrame) -> DataFrame:
-    """paper_id, field, v (value), u (unit), s (string) of the scalar fields of a prediction."""
-    none = F.lit(None)
-    one = lambda name, s=None, q=None, n=None: F.struct(F.lit(name).alias("field"), (F.col(f"{q}.value") if q else n if n is not None else none.cast("double")).alias("v"), (F.col(f"{q}.unit") if q else none.cast("string")).alias("u"), (s if s is not None else none.cast("string")).alias("s"))
-    every = F.array(one("solvent", F.col("solvent")), one("synthesis_method", F.col("synthesis_method")), one("material.name", F.col("material.name")), one("temperature", q="temperature"), one("reaction_time", q="reaction_time"), one("pH", n=F.col("ph")))
-    return rows.select("paper_id", F.explode(every).alias("x")).select("paper_id", "x.*")
+def _pairs(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """paper_id and the scalar parts of both sides, p and g, for papers on both."""
+    side = lambda rows, name: rows.select("paper_id", F.struct("solvent", "synthesis_method", F.col("material.name").alias("name"), "temperature", "reaction_time", "ph").alias(name))
+    return side(pred, "p").join(side(gold, "g"), "paper_id")
 
 
 def scalar_status(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """paper_id, field, status for papers on both sides: strings exactly, quantities by unit, pH exactly and only if
-    either side has it."""
-    p = _long(pred).select("paper_id", "field", *[F.col(c).alias(f"p{c}") for c in "vus"])
-    g = _long(gold).select("paper_id", "field", *[F.col(c).alias(f"g{c}") for c in "vus"])
-    both = p.join(g, ["paper_id", "field"])
+    either side has it. A paper's sides meet in one row, which gives a row for each field."""
+    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def one(field: str, s: str | None = None, q: str | None = None, n: str | None = None) -> Column:
+        of = lambda side: [(F.col(f"{side}.{q}.value") if q else F.col(f"{side}.{n}") if n else none_d).cast("double").alias(f"{side}v"), (F.col(f"{side}.{q}.unit") if q else none_s).alias(f"{side}u"), (F.col(f"{side}.{s}") if s else none_s).alias(f"{side}s")]
+        return F.struct(F.lit(field).alias("field"), *of("p"), *of("g"))
+
+    every = F.array(one("solvent", "solvent"), one("synthesis_method", "synthesis_method"), one("material.name", "name"), one("temperature", q="temperature"), one("reaction_time", q="reaction_time"), one("pH", n="ph"))
+    both = _pairs(pred, gold).select("paper_id", F.explode(every).alias("x")).select("paper_id", "x.*")
     quantity, ph = F.col("field").isin("temperature", "reaction_time"), F.col("field") == "pH"
     here = lambda side: F.when(quantity | ph, F.col(f"{side}v").isNotNull()).otherwise(F.col(f"{side}s").isNotNull())
     equal = F.when(quantity, quantities_equal(F.col("pv"), F.col("pu"), F.col("gv"), F.col("gu"))).when(ph, F.coalesce(F.col("pv") == F.col("gv"), F.lit(False))).otherwise(F.coalesce(F.col("ps") == F.col("gs"), F.lit(False)))
@@ -85,9 +83,9 @@ def entity_counts(matches: DataFrame, statuses: DataFrame, techniques: DataFrame
 
 def named_scalars(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """paper_id, in_pred, in_gold, equal (lower case) of material and solvent."""
-    p = pred.select("paper_id", F.explode(F.array(F.struct(F.lit("material").alias("f"), F.lower("material.name").alias("p")), F.struct(F.lit("solvent").alias("f"), F.lower("solvent").alias("p")))).alias("x")).select("paper_id", "x.*")
-    g = gold.select("paper_id", F.explode(F.array(F.struct(F.lit("material").alias("f"), F.lower("material.name").alias("g")), F.struct(F.lit("solvent").alias("f"), F.lower("solvent").alias("g")))).alias("x")).select("paper_id", "x.*")
-    return p.join(g, ["paper_id", "f"]).select("paper_id", F.col("p").isNotNull().alias("in_pred"), F.col("g").isNotNull().alias("in_gold"), (F.col("p") == F.col("g")).alias("equal"))
+    one = lambda name: F.struct(F.lower(f"p.{name}").alias("p"), F.lower(f"g.{name}").alias("g"))
+    rows = _pairs(pred, gold).select(F.col("paper_id"), F.explode(F.array(one("name"), one("solvent"))).alias("x"))
+    return rows.select("paper_id", F.col("x.p").isNotNull().alias("in_pred"), F.col("x.g").isNotNull().alias("in_gold"), (F.col("x.p") == F.col("x.g")).alias("equal"))
 
 
 def technique_sets(pred: DataFrame, gold: DataFrame) -> DataFrame:

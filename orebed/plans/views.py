@@ -16,7 +16,8 @@ MATERIAL = "case r % 2 when 0 then 'silver nanoparticles' else 'AuNPs' end"
 TECHNIQUE = "case r % 3 when 0 then 'TEM' when 1 then 'XRD' else 'UV-Vis' end"
 
 #: doc_id, ord, line, r, injected: every line and its number.
-RECIPE = "select doc_id, ord, line, (doc_id * 31 + ord * 17) % 997 as r, (doc_id + ord) % 3 <> 2 as injected from lines"
+INJECTED = "(doc_id + ord) % 3 <> 2"
+RECIPE = f"select doc_id, ord, line, (doc_id * 31 + ord * 17) % 997 as r, {INJECTED} as injected from lines"
 
 #: The blocks of a document, a recipe sentence in two of three.
 BLOCKS = f"""select doc_id as paper_id, 1 as version, cast(ord as int) as block_ordinal, 'paragraph' as block_type,
@@ -36,6 +37,11 @@ SAID = f"""select f.doc_id, f.ord, x.r, {PRECURSOR.replace('r %', 'x.r %')} as p
   cast(1 + x.r % 50 as double) as conc, cast(5 + x.r % 95 as double) as mass
   from firsts f join recipe x on x.doc_id = f.doc_id and x.ord = f.ord"""
 
+#: The same from a text's number of lines, without a row for each; {N}: the tasks that documents are dealt to. What follows is made in
+#: as many, where adaptive execution would see only two numbers a document, and put them into one.
+FIRSTS_DEALT = f"""select doc_id, min(ord) as ord from (select /*+ repartition({{N}}, doc_id) */ doc_id,
+    cast(array_min(filter(sequence(0, octet_length(text) - octet_length(replace(text, chr(10), ''))), ord -> {INJECTED})) as bigint) as ord from documents) group by doc_id having min(ord) is not null"""
+
 #: The same without a second pass over the documents: a line's r follows from its number.
 SAID_ONCE = SAID.split("from firsts")[0] + "from (select doc_id, ord, (doc_id * 31 + ord * 17) % 997 as r from firsts) x"
 SAID_ONCE = SAID_ONCE.replace("f.doc_id, f.ord", "x.doc_id, x.ord")
@@ -64,7 +70,8 @@ def duck(query: str, *more: tuple[str, str]) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; only what it needs of the tables is read."""
-    every = [*((n, SAID_ONCE if n == "said" else b) for n, b in CTES), ("stated", STATED)]
+    own = {"firsts": FIRSTS_DEALT.replace("{N}", spark.conf.get("spark.sql.shuffle.partitions")), "said": SAID_ONCE}
+    every = [*((n, own.get(n, b)) for n, b in CTES), ("stated", STATED)]
     needed = [n for n, _ in every[: [n for n, _ in every].index(name) + 1] if n != "gold" or name == "gold"]
     tables = {"documents": "documents", **({"labels": "labels"} if name == "gold" else {})}
     parts = [("lines", SPARK_LINES)] + [(n, b.replace("{S}", "string")) for n, b in every if n in needed]
