@@ -78,3 +78,9 @@ def test_every_unit_in_its_canonical_one(spark):
     df = spark.createDataFrame([(u, d, f) for u, d, f in CANONICAL] + [("parsec", None, None), (None, None, None)], "u string, d string, f double")
     rows = df.select("d", "f", evaluation.dimension(F.col("u")).alias("dim"), evaluation.to_canonical(F.lit(3.7), F.col("u")).alias("v")).collect()
     assert all(r["dim"] == r["d"] and r["v"] == (None if r["f"] is None else 3.7 * r["f"]) for r in rows) and len(rows) == len(CANONICAL) + 2
+
+
+def test_texts_do_not_meet_labels(spark, sf_dir):
+    """Of a document, two numbers are joined with labels; its text stays where it is read."""
+    plan = views.view(spark, sf_dir, "gold")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("RepartitionByExpression") and "octet_length" in plan
