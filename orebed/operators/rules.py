@@ -12,9 +12,16 @@ from ..functions.text import FLAGS, let, spans
 BLOCK = ["paper_id", "version", "block_ordinal"]
 
 
-def matches(text: Column, rule: str) -> Column:
-    """All quantities of one kind in a text: array of text, start, end, value, unit, confidence; unknown units go."""
+#: What classes of a pattern stand for where words, digits and white space are those of ASCII alone.
+ASCII = {r"\d": "[0-9]", r"\s": r"[\t\n\f\r ]", r"\b": "(?-i:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"}
+
+
+def matches(text: Column, rule: str, ascii_only: bool = False) -> Column:
+    """All quantities of one kind in a text: array of text, start, end, value, unit, confidence; unknown units go. ascii_only:
+    patterns are read as SQL engines read them, whose words end before a letter as ü."""
     pattern, confidence = next((p, c) for n, p, c in RULES if n == rule)
+    for sign, plain in ASCII.items() if ascii_only else ():
+        pattern = pattern.replace(sign, plain)
     found = spans(text, FLAGS + pattern)
     known = F.transform(
         found,
@@ -48,11 +55,12 @@ def _split(pattern: str) -> tuple[str, str]:
     return pattern[:at], pattern[at:]
 
 
-def facts(blocks: DataFrame, extractor_version: str = "rule@1", only: list[str] | None = None, since: str | None = None) -> DataFrame:
+def facts(blocks: DataFrame, extractor_version: str = "rule@1", only: list[str] | None = None, since: str | None = None, ascii_only: bool = False) -> DataFrame:
     """A row for each match of each rule (or of those in only) in each block with text, without a shuffle. fact_ord: place among the document's
-    facts is (block_ordinal, rule_ord, char_start). since: a column of blocks, the first place whose matches count (null: none)."""
+    facts is (block_ordinal, rule_ord, char_start). since: a column of blocks, the first place whose matches count (null: none).
+    ascii_only: see matches."""
     kinds = [(i, name) for i, (name, _, _) in enumerate(RULES) if only is None or name in only]
-    one = lambda i, n: F.transform(matches(F.col("text"), n), lambda m: F.struct(F.lit(n).alias("field"), F.lit(i).alias("rule_ord"), m["value"].alias("value_num"), m["unit"].alias("value_unit"), m["text"].alias("evidence_text"), m["start"].alias("char_start"), m["end"].alias("char_end"), m["confidence"].alias("confidence")))
+    one = lambda i, n: F.transform(matches(F.col("text"), n, ascii_only), lambda m: F.struct(F.lit(n).alias("field"), F.lit(i).alias("rule_ord"), m["value"].alias("value_num"), m["unit"].alias("value_unit"), m["text"].alias("evidence_text"), m["start"].alias("char_start"), m["end"].alias("char_end"), m["confidence"].alias("confidence")))
     every = F.concat(*[one(i, n) for i, n in kinds])
     every = every if since is None else F.filter(every, lambda f: f["char_start"] >= F.col(since))
     rows = blocks.where(F.length("text") > 0).select(*BLOCK, "page", "section", F.explode(every).alias("f"))

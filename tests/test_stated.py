@@ -30,6 +30,22 @@ def test_a_word_that_begins_as_a_unit(spark):
     assert [r["value_num"] for r in rules.facts(df, only=["temperature"]).collect()] == [5.0]
 
 
+def test_rule_queries_read_words_as_their_sql(spark, tmp_path):
+    """Words that begin as a unit and go on with another letter than ASCII's, white space and digits of other kinds, of every rule."""
+    duckdb = pytest.importorskip("duckdb")
+    text = "4448007678649085 für der\n5 hôtel 7 s\u00e9 8 süß\n3 gé, 4 lé, 5 mlé, 6 Mé 9 mM\u00e9\n5\u00a0F 6\u2003h 7\u000bmL 8\u000cmg\n\u0663 C \uff18 g 1\u0663 K\n-80.5 °C, 4_F 5 F_ 6 K9 7 kelvin. 8 µM 9 µl 10 µg 11 wt% 5 mg/mL\n5 F"
+    d = str(tmp_path)
+    spark.createDataFrame([(1, text), (2, text.replace("\n", " \n")), (3, None), (4, "")], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    for name in ("temperature", "time", "concentration", "volume"):
+        got = sorted(map(tuple, queries.QUERIES[f"rule_{name}"](spark, d).collect()))
+        assert got == sorted(c.execute(queries.SQL[f"rule_{name}"]).fetchall()) and got, name
+    # line 5 has a mass before a slash, which is none; the SQL has no such rule
+    got = sorted(tuple(r) for r in queries.QUERIES["rule_mass"](spark, d).where("block_ordinal <> 5").collect())
+    assert got == sorted(r for r in c.execute(queries.SQL["rule_mass"]).fetchall() if r[1] != 5) and got
+
+
 def test_wanted_facts_alone(spark):
     df = spark.createDataFrame([("1", 1, 0, None, None, "AgNO3 (2 mM) in water at 60 C for 2 h, TEM.")], "paper_id string, version int, block_ordinal int, page int, section string, text string")
     every = engine.hybrid_facts(df)
