@@ -263,6 +263,20 @@ def test_vector_top_of_equal_odd_and_long_vectors(spark, monkeypatch):
     assert {r["query_id"] for r in got} == {"e005", "r007", "z", "s"}
 
 
+def test_vector_top_copies_nothing_for_blocks(spark, monkeypatch):
+    """Many shares, blocks and packs: vectors aren't shuffled, queries once; ties and copies lie across shares."""
+    monkeypatch.setattr(retrieval, "PART", 16)
+    v = [(i, [(i * i * (j + 3)) % 7 - 3 for j in range(6)]) for i in range(300)]
+    d = spark.createDataFrame(v, "id long, embedding array<int>").repartition(5)
+    top = retrieval.vector_top(d, d.where("id % 10 = 0"), 4, most_queries=7, digits=6)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((math.hypot(*a) * math.hypot(*b)) or 1)
+    want = {(q, n + 1, i) for q in range(0, 300, 10) for n, (_, i) in enumerate(sorted((-round(cos(x, v[q][1]), 6), i) for i, x in v)[:4])}
+    assert {(r["query_id"], r["rank"], r["id"]) for r in top.collect()} == want
+    held = spark.range(100).select("id", F.array(F.col("id").cast("int"), F.lit(1)).alias("embedding"))
+    plan = retrieval.vector_top(held, held.where("id < 9"), 4, most_queries=2)._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "explode(" not in plan and plan.count("Exchange") == 1
+
+
 def test_documents(spark):
     b = blocks(spark, "first", "second", "third", section="S")
     r = documents.render(b, spark.createDataFrame([("P", 1, "T", None)], "paper_id string, version int, title string, abstract string")).first()
